@@ -2,10 +2,395 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftline.functions import normalize, urls
+from weftline.functions import text as tx
+from weftline.operators import cache, extract, fileindex, html, schema
+from weftline.sources import codecs, http
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _read(spark, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _decoded(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+_ARTICLE = "regexp_extract(html, '<article>(.*?)(</article>|<footer)', 1, 's')"
+_TITLE = f"trim({_decoded("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")})"
+_TEXT = f"trim(regexp_replace({_decoded(f"regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+_MARKS = [("</?p>|</h1>", "\\n\\n"), ("<h1>", "\\n\\n# "), ("<br>", "\\n"), ("<[^>]*>", ""), ("[ \\t]+", " ")]
+
+
+def _markdown_sql() -> str:
+    out = _ARTICLE
+    for pattern, mark in _MARKS:
+        out = f"regexp_replace({out}, '{pattern}', E'{mark}', 'g')"
+    return f"trim(regexp_replace({_decoded(out)}, '\\n{{3,}}', E'\\n\\n', 'g'), E' \\n')"
+
+
+_HREFS = """
+WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
+u AS (SELECT page_id, host, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS i FROM h),
+l AS (SELECT page_id, host, min(i) AS i, host || replace(replace(replace(replace(replace(replace(replace(replace(url_encode(replace(href, '&amp;', '&')), '%2F', '/'), '%2C', ','), '%24', '$'), '%2A', '*'), '%26', '&'), '%23', '#'), '%21', '!'), '%25', '%') AS link FROM u WHERE href <> '' GROUP BY ALL)
+"""
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, CAST(len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS INTEGER) AS n_links, {_TEXT} AS clean_text FROM pages")
+def page_overview(spark, sf_dir):
+    return html.parse_pages(_read(spark, sf_dir, "pages")).select("page_id", "title", F.size("links").alias("n_links"), "clean_text")
+
+
+@query(_HREFS + "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS link_no, link FROM l")
+def page_links(spark, sf_dir):
+    return html.parse_pages(_read(spark, sf_dir, "pages")).select("page_id", F.posexplode("links").alias("link_no", "link"))
+
+
+@query(_HREFS + "SELECT host, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM l GROUP BY host")
+def page_link_counts_by_host(spark, sf_dir):
+    links = page_links(spark, sf_dir).withColumn("host", F.regexp_extract("link", "^(https?://[^/]+)", 1))
+    return links.groupBy("host").agg(F.count("*").alias("n_links"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query(f"SELECT page_id, {_markdown_sql()} AS markdown FROM pages")
+def page_markdown(spark, sf_dir):
+    return html.parse_pages(_read(spark, sf_dir, "pages")).select("page_id", "markdown")
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_decoded("regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's')")}, '\\s+', ' ', 'g')) AS h1, CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS n_items FROM pages")
+def page_selectors(spark, sf_dir):
+    found = html.parse_pages(_read(spark, sf_dir, "pages"), selectors=("article > h1", "nav li a[href^='/']"))
+    return found.select("page_id", F.col("selector_matches")["article > h1"][0].alias("h1"), F.size(F.col("selector_matches")["nav li a[href^='/']"]).alias("n_items"))
+
+
+@query(f"SELECT page_id, {_TEXT} AS clean_text FROM pages")
+def strip_boilerplate_off(spark, sf_dir):
+    return html.parse_pages(_read(spark, sf_dir, "pages"), strip=False).select("page_id", "clean_text")
+
+
+@query("SELECT page_id, len(regexp_extract_all(regexp_extract(html, '<article>(.*?)(</article>|<footer)', 1, 's'), '<p>')) AS n_paragraphs FROM pages WHERE html LIKE '%<p>%'")
+def dom_descendants(spark, sf_dir):
+    nodes = html.dom_nodes(_read(spark, sf_dir, "pages"), "page_id")
+    return html.descendants(nodes, "page_id", F.col("tag") == "article", F.col("tag") == "p").groupBy("page_id").agg(F.count("*").alias("n_paragraphs"))
+
+
+def _product_pages(spark, sf_dir):
+    """Pages made of parts: OpenGraph, named meta and JSON-LD, and main beside article."""
+    json_ld = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_retailprice").alias("price"), F.lit("EUR").alias("priceCurrency")).alias("offers")))
+    page = F.concat(F.lit('<html><head><title></title><meta property="og:title" content="no"><meta property="og:title" content=" '), "p_name", F.lit(' "><meta property="og:empty" content=" "><meta NAME="Brand" content="'), "p_brand", F.lit('"><script type="application/ld+json">'), json_ld, F.lit('</script><script type="application/ld+json">{bad</script></head><body><header>top</header><article>no</article><main><h2>'), "p_type", F.lit("</h2><ul><li>size "), F.col("p_size").cast("string"), F.lit('<li class="price">'), F.col("p_retailprice").cast("string"), F.lit("</ul></main>"))
+    return _read(spark, sf_dir, "part").select("p_partkey", page.alias("html"), F.lit("https://shop.example.com/p/").alias("url"))
+
+
+@query("SELECT p_partkey, '' AS title, p_name AS og_title, p_brand AS brand, CAST(1 AS INTEGER) AS n_graph, '## ' || p_type || chr(10) || chr(10) || '- size ' || p_size || chr(10) || '- ' || CAST(p_retailprice AS VARCHAR) AS markdown FROM part")
+def og_meta(spark, sf_dir):
+    p = html.parse_pages(_product_pages(spark, sf_dir))
+    return p.select("p_partkey", "title", F.col("open_graph")["title"].alias("og_title"), F.col("meta")["brand"].alias("brand"), F.size("open_graph").alias("n_graph"), "markdown")
+
+
+@query("SELECT p_partkey, p_name AS name, p_retailprice AS price, 'json_ld' AS source FROM part")
+def json_ld_products(spark, sf_dir):
+    p = html.parse_pages(_product_pages(spark, sf_dir), selectors=(".price",))
+    price = schema.with_provenance([("json_ld", schema.from_json_ld(F.col("json_ld"), "price"), 1.0), ("selector", F.col("selector_matches")[".price"][0], 0.8)])
+    return p.select("p_partkey", schema.from_json_ld(F.col("json_ld"), "title").alias("name"), price["value"].cast("double").alias("price"), price["source"].alias("source"))
+
+
+_CHUNKS = """
+WITH t AS (SELECT doc_id, trim(replace(text, chr(10), chr(10) || chr(10)), E' \\n\\t\\r') AS t FROM documents),
+p AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda x: trim(x, E' \\n\\t\\r')), lambda x: x <> '') AS p FROM t),
+r AS (SELECT doc_id, list_reduce(p, lambda a, x: CASE
+    WHEN length(a.open) + length(x) + 2 <= 400 THEN {'done': a.done, 'open': CASE WHEN a.open = '' THEN x ELSE a.open || chr(10) || chr(10) || x END}
+    WHEN length(x) > 400 THEN {'done': list_concat(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, list_transform(range(1, length(x) + 1, 400), lambda i: substr(x, CAST(i AS INTEGER), 400))), 'open': ''}
+    ELSE {'done': CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, 'open': x} END,
+    {'done': CAST([] AS VARCHAR[]), 'open': ''}) AS r, t FROM p),
+l AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN length(t) <= 400 THEN [t] WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS l FROM r),
+c AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk_idx, unnest(l) AS chunk FROM l)
+"""
+
+
+def _chunks(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return tx.chunk_rows(docs, "doc_id", "text", 100)
+
+
+@query(_CHUNKS + "SELECT * FROM c")
+def chunk_documents(spark, sf_dir):
+    return _chunks(spark, sf_dir)
+
+
+_RANKED = """, s AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n,
+  (length(lower(chunk)) - length(replace(lower(chunk), 'tion', ''))) / 4 * CAST(1.4 AS DOUBLE) + (length(lower(chunk)) - length(replace(lower(chunk), 'that', ''))) / 4 * CAST(1.4 AS DOUBLE) + (length(lower(chunk)) - length(replace(lower(chunk), 'elle', ''))) / 4 * CAST(1.4 AS DOUBLE) AS score FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n <= 3 THEN 0 ELSE score END DESC, chunk_idx) AS rank FROM s)
+"""
+
+
+@query(_CHUNKS + _RANKED + "SELECT doc_id, chunk_idx, CAST(rank AS INTEGER) AS rank, chunk FROM k WHERE rank <= 3")
+def rank_chunks_topk(spark, sf_dir):
+    return tx.ranked_chunks(_chunks(spark, sf_dir), "doc_id", F.lit("tion of That elle tion"), 3).select("doc_id", "chunk_idx", "rank", "chunk")
+
+
+@query("SELECT conv_id, turn, 'Instruction: ' || role || chr(10) || chr(10) || 'Webpage Content:' || chr(10) || text AS prompt, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM conversations")
+def prompt_payload(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", tx.user_prompt(F.col("role"), F.col("text")).alias("prompt"), tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE role END AS role, turn % 4 = 3 AS failed FROM conversations")
+def parse_llm_json(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    body = F.to_json(F.struct("role", "turn"))
+    reply = F.when(F.col("turn") % 4 == 0, F.concat(F.lit(" ```json\n"), body, F.lit("\n``` "))).when(F.col("turn") % 4 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" done"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.lit("no answer"))
+    got = tx.reply_json(reply)
+    return c.select("conv_id", "turn", F.coalesce(F.get_json_object(got, "$.role"), F.get_json_object(got, "$.data[0].role")).alias("role"), got.isNull().alias("failed"))
+
+
+@query("""WITH s AS (SELECT event_id, [CASE event_id % 5 WHEN 0 THEN 503 WHEN 1 THEN 0 WHEN 2 THEN 429 WHEN 3 THEN 404 ELSE 200 END, CASE event_id % 3 WHEN 0 THEN 500 ELSE 200 END, CASE event_id % 7 WHEN 0 THEN 503 ELSE 200 END] AS s FROM events),
+a AS (SELECT event_id, s, CASE WHEN NOT (s[1] = 0 OR s[1] >= 500) THEN 1 WHEN NOT (s[2] = 0 OR s[2] >= 500) THEN 2 ELSE 3 END AS attempts FROM s)
+SELECT event_id, CAST(attempts AS INTEGER) AS attempts, CAST(s[attempts] AS INTEGER) AS status, CAST(800 * (attempts - 1) * attempts / 2 AS BIGINT) AS waited_ms FROM a""")
+def retry_schedule(spark, sf_dir):
+    e = F.col("event_id")
+    first = F.when(e % 5 == 0, 503).when(e % 5 == 1, 0).when(e % 5 == 2, 429).when(e % 5 == 3, 404).otherwise(200)
+    statuses = F.array(first, F.when(e % 3 == 0, 500).otherwise(200), F.when(e % 7 == 0, 503).otherwise(200))
+    return _read(spark, sf_dir, "events").select("event_id", http.retry_outcome(statuses).alias("r")).select("event_id", "r.*")
+
+
+@query("SELECT page_id, page_id % 5 <> 1 AND page_id % 5 <> 3 AS valid FROM pages")
+def url_validate(spark, sf_dir):
+    k = F.col("page_id") % 5
+    url = F.when(k == 0, F.concat(F.lit("  "), "url", F.lit(" "))).when(k == 1, F.concat(F.lit("ftp://x/"), "url")).when(k == 2, F.regexp_replace("url", "^http", "HTTP")).when(k == 3, F.lit("   ")).otherwise(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", urls.is_http_url(url).alias("valid"))
+
+
+_FILES = """
+WITH e AS (SELECT * FROM (VALUES (0, 'mp4', 'Video'), (1, 'FLAC', 'Audio'), (2, 'pdf', 'Document'), (3, 'tar.gz', 'Archive'), (4, 'exe', 'Executable'), (5, 'html', NULL), (6, 'xyz', 'Other'), (7, 'zip', 'Archive')) v(k, ext, kind)),
+f AS (SELECT p_partkey AS id, p_name || '.' || ext AS file_name, 'http://files.example.com/pub/' || replace(p_name, ' ', '%20') || '.' || ext AS file_url, kind AS file_type FROM part JOIN e ON p_partkey % 8 = k)
+"""
+_INDEX = _FILES + """, i AS (SELECT min(id) AS id, file_name, file_url, file_type FROM f WHERE file_type IS NOT NULL AND file_type <> 'Other' GROUP BY ALL)
+"""
+
+
+def _file_links(spark, sf_dir):
+    ext = F.element_at(F.array(*(F.lit(x) for x in ("mp4", "FLAC", "pdf", "tar.gz", "exe", "html", "xyz", "zip"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    url = F.concat(F.lit("http://files.example.com/pub/"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("."), ext)
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), url.alias("file_url"))
+
+
+def _index(spark, sf_dir):
+    found = fileindex.classified(_file_links(spark, sf_dir))
+    return fileindex.insert_or_ignore(None, found, ["id"])
+
+
+@query(_FILES + "SELECT id, file_name, coalesce(file_type, 'Other') AS file_type, file_type IS NOT NULL AS indexable FROM f")
+def file_classify(spark, sf_dir):
+    f = _file_links(spark, sf_dir).withColumn("file_name", urls.file_name(F.col("file_url")))
+    return f.select("id", "file_name", urls.file_type(F.col("file_name")).alias("file_type"), urls.is_indexable(F.col("file_url")).alias("indexable"))
+
+
+@query(_INDEX + "SELECT * FROM i")
+def file_index_dedupe(spark, sf_dir):
+    return _index(spark, sf_dir).select("id", "file_name", "file_url", "file_type")
+
+
+@query(_INDEX + "SELECT file_name, file_url, file_type FROM i WHERE file_name ILIKE '%D R%' ORDER BY file_name, file_url LIMIT 50")
+def file_search_like(spark, sf_dir):
+    return fileindex.search_like(_index(spark, sf_dir), "D R").select("file_name", "file_url", "file_type")
+
+
+@query(_INDEX + """, t AS (SELECT id, list_filter(string_split_regex(lower(file_name), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM i),
+h AS (SELECT id, len(list_filter(t, lambda x: starts_with(x, 'r'))) AS tf1, len(list_filter(t, lambda x: starts_with(x, 'wid'))) AS tf2, len(t) AS n FROM t),
+g AS (SELECT count(*) AS nn, avg(n) AS av, count(*) FILTER (tf1 > 0) AS d1, count(*) FILTER (tf2 > 0) AS d2 FROM h)
+SELECT id, round(ln(1 + (nn - d1 + 0.5) / (d1 + 0.5)) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * n / av)) + ln(1 + (nn - d2 + 0.5) / (d2 + 0.5)) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * n / av)), 6) AS score
+FROM h, g WHERE tf1 > 0 AND tf2 > 0""")
+def file_search_fts(spark, sf_dir):
+    return fileindex.search_fts(_index(spark, sf_dir), "R wid", limit=100_000_000).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_INDEX + "SELECT file_type, count(*) AS total FROM i GROUP BY file_type")
+def file_stats(spark, sf_dir):
+    return fileindex.stats(_index(spark, sf_dir))
+
+
+@query(_INDEX + ", t AS (SELECT id, list_filter(string_split_regex(lower(file_name), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM i WHERE id % 3 <> 0) SELECT id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS place, unnest(t) AS token FROM t")
+def index_backfill_anti(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    return fileindex.backfill(index, fileindex.inverted(index.where("id % 3 = 0"))).select("id", "n_tokens", "place", "token")
+
+
+@query("""WITH RECURSIVE d AS (SELECT 'http://s' || s_suppkey || '.example.com/pub/' AS url, 0 AS depth FROM supplier WHERE s_suppkey < 7
+  UNION ALL SELECT d.url || x.n, d.depth + 1 FROM d, (VALUES ('a/'), ('b%20c/')) x(n) WHERE d.depth < 2)
+SELECT url || f.n AS file_url, f.name AS file_name, f.kind AS file_type, CAST(depth AS INTEGER) AS depth FROM d, (VALUES ('clip.mp4', 'clip.mp4', 'Video'), ('my%20notes.tar.gz', 'my notes.tar.gz', 'Archive')) f(n, name, kind)""")
+def crawl_bfs(spark, sf_dir):
+    listing = F.concat(F.lit('<a href="../">Parent Directory</a><a href="?C=N;O=D">Name</a><a href="http://other.example.com/x.pdf">x</a><a href="clip.mp4#t=1">c</a><a href="my%20notes.tar.gz">n</a><a href="index.html">i</a><a href="k.xyz">k</a>'), F.when(F.col("depth") < 2, '<a href="a/">a</a><a href="./b%20c/">b</a><a href="a/">again</a>').otherwise(""))
+    seeds = _read(spark, sf_dir, "supplier").where("s_suppkey < 7").select(F.concat(F.lit("http://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com/pub")).alias("url"))
+    files, _ = fileindex.crawl(seeds, lambda d: d.withColumn("html", listing), keep=_kept)
+    return files.select("file_url", "file_name", "file_type", "depth")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df written where driver and executors share a folder and read again, else as it is."""
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        return df.cache()
+    path = f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _requests(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT event_id, user_id, epoch_ms(ts) AS t FROM events),
+s AS (SELECT user_id, min(t) AS t FROM l GROUP BY user_id UNION ALL SELECT s.user_id, (SELECT min(l.t) FROM l WHERE l.user_id = s.user_id AND l.t >= s.t + 7200000) FROM s WHERE s.t IS NOT NULL)
+SELECT event_id, NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = l.user_id AND s.t = l.t) AS hit FROM l""")
+def cache_ttl_hits(spark, sf_dir):
+    return cache.ttl_hits(_requests(spark, sf_dir), "user_id", "at", 7_200_000).select("event_id", "hit")
+
+
+@query("""WITH l AS (SELECT event_type, event_id, user_id, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS before FROM events)
+SELECT a.event_id, a.before IS NOT NULL AND count(DISTINCT b.user_id) < 20 AS hit FROM l a LEFT JOIN l b ON a.event_type = b.event_type AND b.event_id > a.before AND b.event_id < a.event_id
+GROUP BY a.event_id, a.before""")
+def cache_lru_hits(spark, sf_dir):
+    return cache.lru_hits(_requests(spark, sf_dir), "event_type", "user_id", "event_id", 20).select("event_id", "hit")
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\W+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT * FROM (VALUES (1, 'thation'), (1, 'ereation'), (2, 'eauou'), (2, 'the'), (2, 'ention')) v(query_id, term)),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + ((SELECT count(*) FROM w) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(w)) FROM w)))), 6) AS score FROM f JOIN d USING (term) JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
+def bm25_topk(spark, sf_dir):
+    terms = spark.createDataFrame([(1, "thation"), (1, "ereation"), (2, "eauou"), (2, "the"), (2, "ention")], "query_id int, term string")
+    scored = tx.bm25(_read(spark, sf_dir, "documents"), "doc_id", "text", terms).withColumn("score", F.round("score", 6))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10").select("query_id", "doc_id", "score", "rank")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS DOUBLE) END AS amount, CASE p_partkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'CHF' END AS currency,
+CAST(CASE p_partkey % 3 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * 1000000 ELSE NULL END AS DOUBLE) AS number FROM part""")
+def normalize_money(spark, sf_dir):
+    price, k = F.format_number("p_retailprice", 2), F.col("p_partkey") % 4
+    said = F.when(k == 0, F.concat(F.lit("$"), price)).when(k == 1, F.concat(price, F.lit(" €"))).when(k == 2, F.concat(F.lit("CHF "), price)).otherwise(F.lit("on request"))
+    size, m = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    count = F.when(m == 0, F.concat(size, F.lit("k"))).when(m == 1, F.concat(size, F.lit(",000,000"))).otherwise(F.concat(size, F.lit(" pieces")))
+    got = normalize.money(said)
+    return _read(spark, sf_dir, "part").select("p_partkey", got["amount"].cast("double").alias("amount"), got["currency"].alias("currency"), normalize.number(count).alias("number"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+1555' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') WHEN 1 THEN '+491234' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') END AS phone,
+CASE c_custkey % 4 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2024-03-09' WHEN 2 THEN strftime(DATE '2024-03-10' - CAST(c_custkey % 30 AS INTEGER), '%Y-%m-%d') END AS day FROM customer""")
+def normalize_contact(spark, sf_dir):
+    n, k = F.col("c_custkey"), F.col("c_custkey") % 4
+    said = F.when(n % 3 == 0, F.concat(F.lit("(555) "), F.lpad(n.cast("string"), 7, "0"))).when(n % 3 == 1, F.concat(F.lit("0049 1234-"), F.lpad(n.cast("string"), 5, "0"))).otherwise(F.lit("call us"))
+    day = F.when(k == 0, F.lit("Tue, 05 Mar 2024 10:00:00 +0000")).when(k == 1, F.lit("yesterday")).when(k == 2, F.concat((n % 30).cast("string"), F.lit(" days ago"))).otherwise(F.lit("soon"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", normalize.phone(said).alias("phone"), normalize.date(day, F.lit("2024-03-10").cast("date")).alias("day"))
+
+
+@query("SELECT * FROM (SELECT 'segment' AS field, count(*) FILTER (c_mktsegment <> 'BUILDING') AS satisfied, count(*) FILTER (c_mktsegment = 'BUILDING') AS missing FROM customer UNION ALL SELECT 'balance', count(*) FILTER (c_acctbal > 0), count(*) FILTER (NOT c_acctbal > 0) FROM customer)")
+def coverage_report(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
+    return schema.coverage(c, ["segment", "balance"])
+
+
+@query("""SELECT page_id, url, CASE WHEN url LIKE '%/en/4%' THEN true WHEN url LIKE '%/en/%' AND url LIKE '%.example.com/%' THEN false ELSE true END AS allowed FROM pages""")
+def robots_allowed(spark, sf_dir):
+    p = _read(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = p.select(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).where("host like '%.example.com'").distinct()
+    rules = hosts.crossJoin(spark.createDataFrame([("/en/", False), ("/en/4", True)], "path string, allow boolean"))
+    return http.allowed(p.dropDuplicates(["url"]), rules).select("url", "allowed").join(p, "url").select("page_id", "url", "allowed")
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '\\?utm_source=feed$', ''), '[?&]utm_source=[^&#]*', '') AS clean, position('utm_' IN url) > 0 AS tracked FROM pages")
+def strip_tracking(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", urls.without_tracking(F.col("url")).alias("clean"), F.contains("url", F.lit("utm_")).alias("tracked"))
+
+
+@query("SELECT conv_id % 7 AS session, role AS model, count(*) AS calls, sum(CAST(ceil(length(text) / 4.0) AS BIGINT))::BIGINT AS tokens_in, CAST(count(*) AS BIGINT) AS tokens_out, round((sum(ceil(length(text) / 4.0)) * 3 + count(*) * 15) / 1e6, 9) AS cost FROM conversations GROUP BY ALL")
+def usage_cost(spark, sf_dir):
+    calls = _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("session"), F.col("role").alias("model"), F.col("text").alias("prompt"), F.lit("okay").alias("reply"))
+    prices = calls.select("model").distinct().withColumns({"price_in": F.lit(3.0), "price_out": F.lit(15.0)})
+    return extract.usage(calls, prices).withColumn("cost", F.round("cost", 9)).select("session", "model", "calls", "tokens_in", "tokens_out", "cost")
+
+
+@query("SELECT event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) = 2, false) AS open FROM events")
+def circuit_breaker(spark, sf_dir):
+    calls = _read(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error")
+    return cache.breaker_open(calls, "user_id", "event_id", "failed", 2).select("event_id", "open")
+
+
+@query(r'''SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '"' || p_name || ', ""x""",' || p_size ELSE p_name || ',' || p_size END AS csv, '| ' || CASE WHEN p_partkey % 3 = 0 THEN p_name || ', "x"' ELSE p_name END || ' | a\|b |' AS row FROM part''')
+def table_codecs(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(', "x"'))).otherwise(F.col("p_name"))
+    return _read(spark, sf_dir, "part").select("p_partkey", codecs.csv_line([name, F.col("p_size")]).alias("csv"), codecs.table_row([name, F.lit("a|b")]).alias("row"))
+
+
+@query("SELECT n_nationkey, n_name || ' | x' AS seeds FROM nation")
+def seed_lists(spark, sf_dir):
+    said = F.concat(F.lit(" ;"), "n_name", F.lit(" ,, x; "), "n_name", F.lit(","))
+    return _read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(http.split_list(said), " | ").alias("seeds"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Video' WHEN 1 THEN 'Archive' WHEN 2 THEN 'Executable' END AS file_type FROM supplier")
+def type_aliases(spark, sf_dir):
+    said = F.element_at(F.array(*(F.lit(x) for x in (" VIDEOS", "Archive_Software", "app", "picture"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", urls.normal_type(said).alias("file_type"))
+
+
+@query("SELECT 'h' || (s_suppkey % 5) AS host, 'price' AS field, count(*) AS pages, count(*) FILTER (s_suppkey % 5 = 2 OR s_acctbal < 0) AS empty, count(*) = count(*) FILTER (s_suppkey % 5 = 2 OR s_acctbal < 0) AS drifted FROM supplier GROUP BY ALL")
+def recipe_drift(spark, sf_dir):
+    host = F.concat(F.lit("h"), (F.col("s_suppkey") % 5).cast("string"))
+    found = F.when((F.col("s_suppkey") % 5 != 2) & (F.col("s_acctbal") >= 0), F.array(F.col("s_acctbal").cast("string"))).otherwise(F.array().cast("array<string>"))
+    matches = _read(spark, sf_dir, "supplier").select(host.alias("host"), F.col("s_name").alias("url"), F.create_map(F.lit(".price"), found).alias("selector_matches"))
+    recipes = matches.select("host").distinct().select("host", F.lit("price").alias("field"), F.lit(".price").alias("selector"), F.current_date().alias("created"))
+    return schema.drift(schema.run_recipes(matches, recipes))
+
+
+@query("SELECT conv_id, min(turn) AS first_turn, count(*) AS n_items FROM (SELECT conv_id, min(turn) AS turn, role FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
+def merge_list_items(spark, sf_dir):
+    parts = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chunk_idx"), F.array(F.struct("role", "turn")).alias("items"))
+    return extract.merged_lists(parts, "conv_id", "items", "role").groupBy("conv_id").agg(F.min("item.turn").alias("first_turn"), F.count("*").alias("n_items"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS from_cache FROM pages WHERE html <> ''")
+def cached_parse(spark, sf_dir):
+    p = _read(spark, sf_dir, "pages")
+    parse = lambda df: html.parse_pages(df).select("page_id", "url", "title")
+    return cache.parse_through(p, parse(p.where("page_id % 3 = 0")), parse, key="page_id").select("page_id", "from_cache")
+
+
+@query("SELECT conv_id, turn, role AS product FROM conversations")
+def provider_extraction(spark, sf_dir):
+    import json
+
+    fake = extract.CustomProvider(lambda system, user: "```json\n" + json.dumps({"product": user.rpartition("\n")[2]}) + "\n```", name="fake")
+    chain = extract.ProviderChain([extract.OpenAiProvider("none"), fake], allow_cloud=False)
+    asked = extract.extract_json(_read(spark, sf_dir, "conversations"), chain, "find the product", {"product": "string"}, context="role")
+    return asked.select("conv_id", "turn", F.get_json_object("ai_json", "$.product").alias("product"))
