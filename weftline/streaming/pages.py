@@ -36,11 +36,11 @@ def insert_batch(path: str):
     return run
 
 
-def cached_requests(requests: DataFrame, key: str, at: str, ttl_ms: int) -> DataFrame:
+def cached_requests(requests: DataFrame, key: str, at: str, ttl_ms: int, delay: str = "1 minute") -> DataFrame:
     """(key, at_ms, hit) of a stream of requests (at: timestamp), with each key's expiry as state.
 
-    A miss sets the key for ttl_ms. Requests of a micro-batch are taken in order of time; state goes when processing
-    time passes the expiry.
+    A miss sets the key for ttl_ms. Requests of a micro-batch are taken in order of time. State goes when the watermark,
+    which trails the latest request by delay, passes the expiry; requests behind the watermark are dropped.
     """
 
     def walk(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,9 +54,9 @@ def cached_requests(requests: DataFrame, key: str, at: str, ttl_ms: int) -> Data
             if not hits[-1]:
                 until = t + ttl_ms
         state.update((until,))
-        state.setTimeoutDuration(max(1, ttl_ms))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [keys[0]] * len(times), "at_ms": times, "hit": hits})
 
     kind = requests.schema[key].dataType.simpleString()
-    rows = requests.select(key, F.unix_millis(at).alias("at_ms"))
-    return rows.groupBy(key).applyInPandasWithState(walk, f"{key} {kind}, at_ms long, hit boolean", "until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.withWatermark(at, delay).select(key, at, F.unix_millis(at).alias("at_ms"))
+    return rows.groupBy(key).applyInPandasWithState(walk, f"{key} {kind}, at_ms long, hit boolean", "until long", "append", GroupStateTimeout.EventTimeTimeout)
