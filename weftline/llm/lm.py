@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.store import written
 
-SIDE = 32  # classes, and words of a class
+SIDE = 16  # classes, and words of a class
 TABLE_BITS = (13, 14)  # buckets of the class table and of the word table
 HOT_WORDS = 65_536
-CHUNK = 16_384
+CHUNK = 32_768
 BATCH_TOKENS = 200_000
 BLOCK = 512
-OTHER, END = 0, 1
+OTHER, END = 0, SIDE  # all other words are a class of their own; the end of a text is the first word of the next
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -109,34 +109,37 @@ class Model:
     def start(cls, counts: np.ndarray) -> "Model":
         """No features yet: the words' own frequencies."""
         p = (counts + 0.5).reshape(SIDE, SIDE)
+        p[0, 1:] = 1e-9
         by_class = p.sum(axis=1)
         return cls(np.log(by_class / by_class.sum()).astype(np.float32), np.log(p / by_class[:, None]).astype(np.float32), [np.zeros((1 << b, SIDE), np.float32) for b in TABLE_BITS])
 
     def _parts(self, codes, target):
-        """For classes, then for words of the target's class: table, buckets of the features, bias and wanted column."""
+        """For classes, then for words of the target's class: table, rows, buckets of the features, bias, wanted column."""
         kind, word = target // SIDE, target % SIDE
-        yield 0, [_bucket(c, 1 + i, TABLE_BITS[0]) for i, c in enumerate(codes)], self.class_bias[None, :], kind
-        inside = kind.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-        yield 1, [_bucket(c + inside, 7 + i, TABLE_BITS[1]) for i, c in enumerate(codes)], self.word_bias[kind], word
+        yield 0, slice(None), [_bucket(c, 1 + i, TABLE_BITS[0]) for i, c in enumerate(codes)], self.class_bias[None, :], kind
+        rows = np.flatnonzero(kind)
+        if len(rows):
+            inside = kind[rows].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+            yield 1, rows, [_bucket(c[rows] + inside, 7 + i, TABLE_BITS[1]) for i, c in enumerate(codes)], self.word_bias[kind[rows]], word[rows]
 
     def log_prob(self, codes, target) -> np.ndarray:
         """Natural log of each token's model word."""
         out = np.zeros(len(target))
         for at in range(0, len(target), CHUNK):
             cut = slice(at, at + CHUNK)
-            for k, buckets, bias, want in self._parts([c[cut] for c in codes], target[cut]):
+            for k, rows, buckets, bias, want in self._parts([c[cut] for c in codes], target[cut]):
                 z = self.tables[k][buckets[0]]
                 z += self.tables[k][buckets[1]]
                 z += self.tables[k][buckets[2]]
                 z += bias
                 z -= z.max(axis=1, keepdims=True)
-                out[cut] += z[np.arange(len(want)), want] - np.log(np.exp(z).sum(axis=1))
+                out[cut][rows] += z[np.arange(len(want)), want] - np.log(np.exp(z).sum(axis=1))
         return out
 
     def learn(self, codes, target, rate: float, seen: list[np.ndarray]) -> None:
         for at in range(0, len(target), CHUNK):
             cut = slice(at, at + CHUNK)
-            for k, buckets, bias, want in self._parts([c[cut] for c in codes], target[cut]):
+            for k, _, buckets, bias, want in self._parts([c[cut] for c in codes], target[cut]):
                 table = self.tables[k]
                 z = table[buckets[0]]
                 z += table[buckets[1]]
@@ -254,12 +257,12 @@ def lm_scores(docs: DataFrame, *, folds: int = 5, rounds: int = 3, rate: float =
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, v_all = total + ends, kinds + (ends > 0)
     frequent = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()]
-    inside = frequent[: SIDE * SIDE - 2]
-    vocabulary = {w: 2 + i for i, (w, _) in enumerate(inside)}
+    inside = frequent[: SIDE * SIDE - SIDE - 1]
+    vocabulary = {w: SIDE + 1 + i for i, (w, _) in enumerate(inside)}
     known = sum(n for _, n in inside)
     sizes = np.zeros(SIDE * SIDE)
     sizes[[OTHER, END]] = total - known, ends
-    sizes[2 : 2 + len(inside)] = [n for _, n in inside]
+    sizes[SIDE + 1 : SIDE + 1 + len(inside)] = [n for _, n in inside]
     parts = training.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).cast("int").alias("part"))
     model = train(parts, vocabulary, sizes, rounds=rounds, rate=rate) if ends else Model.start(sizes)
     base_total, other_total = n_all + 0.5 * (v_all + 1), total - known + 0.5 * (kinds - len(inside) + 1)
