@@ -5,7 +5,8 @@ all miss) into index lists, with its size and the shingle's position. A first ta
 frequency. Two relations between sets save work. Inside a list, entries lie in blocks by size, and blocks and entries
 whose position leaves too small an overlap are skipped. And answers are derived: members of a long list are compared
 with one central member first; a set highly similar to it shares its component, so only pairs that the answers so far
-don't decide are compared further. No link between different components is lost: every pair that is skipped is either
+don't decide are compared further. Sets that come near each other in a list but whose prefixes differ too much by their
+marks (a bit for each shingle) are no pair. No link between different components is lost: every pair that is skipped is either
 below the threshold or already joined.
 """
 
@@ -25,9 +26,10 @@ from weftline.llm.components import components
 from weftline.llm.store import written
 from weftline.llm.substring import _maybe_in, _WordHashes, run_hashes, word_codes
 
-COUNTERS = 1 << 21
+COUNTERS = 1 << 23
 BLOCK = 1 << 15
-LONG_LIST = 16
+LONG_LIST = 32
+MARK_BITS = 256
 
 
 def shingle_set(text: str | None, n: int, known: _WordHashes) -> np.ndarray:
@@ -45,8 +47,8 @@ def _scan(n: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _WordHashes(), np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        known, counts = _WordHashes(), np.zeros(COUNTERS, np.int32)
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             sizes, digests, buffered = [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingle_set(text, n, known)
@@ -54,27 +56,30 @@ def _scan(n: int):
                 digests.append(hashlib.md5(found.tobytes()).digest())
                 buffered.append(found)
             every = (np.concatenate(buffered) & np.uint64(COUNTERS - 1)).astype(np.int64) if buffered else np.empty(0, np.int64)
-            counts += np.bincount(every, minlength=COUNTERS)
+            at, n_at = np.unique(every, return_counts=True)
+            counts[at] += n_at.astype(np.int32)
             none = [None] * batch.num_rows
             yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, digests, none, none)
         for b in np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1)):
-            part = np.minimum(counts[b * BLOCK : (b + 1) * BLOCK], 65535).astype("<u2")
+            part = np.minimum(counts[b * BLOCK : (b + 1) * BLOCK], 255).astype(np.uint8)
             yield rows([None], [None], [None], [None], [b], [part.tobytes()])
 
     return run
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, "<u2").astype(np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
+    total = sum(np.frombuffer(c, np.uint8).astype(np.int32) for c in pdf["counts"])
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [total.astype("<i4").tobytes()]})
 
 
 def _classes(blocks: DataFrame) -> np.ndarray:
     """A frequency class of each counter: 0 up to twice the mean and a little, then one more for each doubling."""
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.int32)
     for r in blocks.groupBy("block").applyInPandas(_summed, "block int, counts binary").toLocalIterator():
-        total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), "<i8")
-    return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / (2 * total.mean() + 8)))).astype(np.uint8)
+        total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), "<i4")
+    least = 2 * total.mean() + 8
+    steps = least * 2.0 ** np.arange(32)
+    return np.searchsorted(steps, total).astype(np.uint8)
 
 
 def prefix_size(n: np.ndarray | int, percent: int):
@@ -85,22 +90,25 @@ def prefix_size(n: np.ndarray | int, percent: int):
 def _prefixes(held, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in batches:
-            ids, hashes, sizes, places = [], [], [], []
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            ids, hashes, sizes, places, marks = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingle_set(text, n, known)
                 if not len(found):
                     continue
                 p = prefix_size(len(found), percent)
                 first = found[np.argsort(held.value[(found & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:p]]
-                hashes.append(first)
-                ids.append(np.full(p, doc))
-                sizes.append(np.full(p, len(found)))
-                places.append(np.arange(1, p + 1))
+                mark = np.zeros(MARK_BITS, bool)
+                mark[(first >> np.uint64(24)).astype(np.int64) % MARK_BITS] = True
+                hashes += [np.zeros(1, np.uint64), first]  # place 0: the row of the set itself
+                ids.append(np.full(p + 1, doc))
+                sizes.append(np.full(p + 1, len(found)))
+                places.append(np.arange(p + 1))
+                marks += [np.packbits(mark).view("<i8").tolist(), *[None] * p]
             if ids:
-                columns = [np.concatenate(hashes).view(np.int64), np.concatenate(ids), np.concatenate(sizes), np.concatenate(places)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "id", "size", "place"])
+                columns = [np.concatenate(hashes).view(np.int64), np.concatenate(ids), np.concatenate(sizes), np.concatenate(places), marks]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "id", "size", "place", "mark"])
 
     return run
 
@@ -122,6 +130,21 @@ def _overlap_needed(a: str, b: str, percent: int) -> Column:
     return F.ceil((F.col(a) + F.col(b)) * percent / F.lit(100 + percent))
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two sets' sizes and marks leave room for a link.
+
+    A set's mark has a bit for each shingle of its prefix, so a bit of one that the other lacks stands for a shingle that
+    the prefixes don't share. The overlap is at most the shared part of the prefixes and what lies beyond the prefix of
+    the set whose prefix ends first.
+    """
+    sizes = [F.col(f"size_{k}") for k in (a, b)]
+    own = [F.ceil(s * percent / F.lit(100)) - 1 for s in sizes]
+    lacking = [sum((F.bit_count(F.get(f"mark_{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"mark_{y}", F.lit(i))))) for i in range(MARK_BITS // 64)), F.lit(0)) for x, y in ((a, b), (b, a))]
+    shared = F.least(*(s - o - gone for s, o, gone in zip(sizes, own, lacking, strict=True)))
+    close = (sizes[0] * 100 >= sizes[1] * percent) & (sizes[1] * 100 >= sizes[0] * percent)
+    return close & (shared + F.greatest(*own) >= _overlap_needed(f"size_{a}", f"size_{b}", percent))
+
+
 class _Join:
     """One self-join: distinct sets (doc_id of the smallest holder, text), and the pairs of them that link."""
 
@@ -141,8 +164,8 @@ class _Join:
     def short_pairs(self, index: DataFrame) -> DataFrame:
         """Pairs of the short lists whose shared prefix shingles still allow the overlap."""
         short = index.where(F.col("n") <= LONG_LIST)
-        a, b = (short.select("h", F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("long_lists").alias(f"long_{k}")) for k in ("a", "b"))
-        p, close = self.percent, (F.col("size_a") * 100 >= F.col("size_b") * self.percent) & (F.col("size_b") * 100 >= F.col("size_a") * self.percent)
+        a, b = (short.select("h", F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("mark").alias(f"mark_{k}"), F.col("long_lists").alias(f"long_{k}")) for k in ("a", "b"))
+        p, close = self.percent, _may_link("a", "b", self.percent)
         met = a.join(b, "h").where((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("size_a", "size_b", "long_a", "long_b")))
         beyond = F.greatest(*(F.ceil(F.col(s) * p / F.lit(100)) - 1 for s in ("size_a", "size_b")))
         return met.where(F.col("met") + F.least("long_a", "long_b") + beyond >= _overlap_needed("size_a", "size_b", p)).select("a", "b")
@@ -151,15 +174,15 @@ class _Join:
         """Pairs of entries of the same list, by blocks of size, whose positions leave room for the overlap."""
         base = float(np.log(100 / self.percent))
         band = F.floor(F.log(F.col("size").cast("double")) / base).cast("int")
-        x = one.select("h", F.col("id").alias("x"), F.col("size").alias("size_x"), F.col("place").alias("place_x"), F.col("component").alias("comp_x"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-        y = other.select("h", F.col("id").alias("y"), F.col("size").alias("size_y"), F.col("place").alias("place_y"), F.col("component").alias("comp_y"), band.alias("band"))
+        x = one.select("h", F.col("id").alias("x"), F.col("size").alias("size_x"), F.col("place").alias("place_x"), F.col("mark").alias("mark_x"), F.col("component").alias("comp_x"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+        y = other.select("h", F.col("id").alias("y"), F.col("size").alias("size_y"), F.col("place").alias("place_y"), F.col("mark").alias("mark_y"), F.col("component").alias("comp_y"), band.alias("band"))
         room = 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-        met = y.join(x, ["h", "band"]).where((F.col("comp_x") != F.col("comp_y")) & (room >= _overlap_needed("size_x", "size_y", self.percent)))
+        met = y.join(x, ["h", "band"]).where((F.col("comp_x") != F.col("comp_y")) & _may_link("x", "y", self.percent) & (room >= _overlap_needed("size_x", "size_y", self.percent)))
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def links(self, index: DataFrame, rounds: int = 2) -> DataFrame:
         links = written(self.linked(self.short_pairs(index)), "jaccard-links")
-        long = index.where(F.col("n") > LONG_LIST).select("h", "id", "size", "place", "kept")
+        long = index.where(F.col("n") > LONG_LIST).select("h", "id", "size", "place", "mark", "kept")
         entries = long.withColumn("component", F.col("id"))
         for at in range(rounds + 1):
             if at:
@@ -177,7 +200,7 @@ class _Join:
                 open_entries = entries
             if at < rounds:
                 best = F.struct("kept", -F.col("id"))
-                centre = open_entries.groupBy("h").agg(*(F.max_by(c, best).alias(c) for c in ("id", "size", "place", "component")))
+                centre = open_entries.groupBy("h").agg(*(F.max_by(c, best).alias(c) for c in ("id", "size", "place", "mark", "component")))
             else:
                 centre = open_entries
             links = links.unionByName(written(self.linked(self._meets(centre, entries)), "jaccard-links"))
@@ -202,9 +225,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     own = docs.where("doc_id is not null and text is not null")
     likely, single = _maybe_in(own, copies)
     texts = single.unionByName(likely.join(copies, ["doc_id", "tag"], "left_anti").select(*single.columns)).select("doc_id", "text")
-    listed = written(texts.mapInArrow(_prefixes(classes, words, percent), "h long, id long, size int, place int"), "jaccard-prefix")
+    listed = written(texts.mapInArrow(_prefixes(classes, words, percent), "h long, id long, size int, place int, mark array<long>"), "jaccard-prefix")
+    marks, listed = listed.where("place = 0").select("id", "mark"), listed.where("place > 0").drop("mark")
     shared = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    index = listed.join(shared, "h")
+    index = listed.join(shared, "h").join(marks.dropDuplicates(["id"]), "id")
     per_set = Window.partitionBy("id")
     index = written(index.withColumns({"kept": F.count("*").over(per_set), "long_lists": F.count_if(F.col("n") > LONG_LIST).over(per_set)}), "jaccard-index")
     found = components(_Join(texts, words, percent).links(index))
