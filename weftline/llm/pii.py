@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.store import smallest
+
 KINDS = ("email", "ip", "card", "phone")
 TYPES = (*KINDS, "O")
 MOST_WORDS = 5
@@ -235,8 +237,9 @@ _PLAIN = ("7", "42", "1999", "2024-05-17", "12:30", "3.14", "10,000", "v2.1.3",
 
 
 def train(docs: DataFrame, *, sample_rows: int = 2000, most_runs: int = 2500, epochs: int = 4, seed: int = 11) -> np.ndarray:
-    """Weights from the sample_rows documents, of those with a digit or @, whose hash is smallest."""
-    drawn = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample_rows).select(F.col("text")).mapInArrow(_drawn(seed), "run array<string>, gold array<string>")
+    """Weights from the sample_rows distinct texts, of those with a digit or @, whose hash is smallest."""
+    near = smallest(docs.where(F.col("text").rlike("[0-9@]")).select("text"), F.xxhash64("text"), sample_rows)
+    drawn = near.distinct().orderBy(F.xxhash64("text"), "text").limit(sample_rows).select(F.col("text")).mapInArrow(_drawn(seed), "run array<string>, gold array<string>")
     runs = [(r["run"], [(int(a), int(b), t) for a, b, t in (g.split(":") for g in r["gold"])]) for r in drawn.limit(4 * most_runs).collect()]
     runs = sorted(runs, key=lambda r: zlib.crc32(repr(r).encode()))[:most_runs]
     runs += [(p.split(), [(i, i + 1, "O") for i in range(len(p.split()))]) for p in _PLAIN] * max(1, len(runs) // 100)

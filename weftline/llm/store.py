@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -27,3 +28,9 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The rows of df whose key (long) is among its n smallest distinct keys; only keys are shuffled to find the bound."""
+    bound = df.select(key.alias("k")).distinct().orderBy("k").limit(n).agg(F.max("k")).first()[0]
+    return df.limit(0) if bound is None else df.where(key <= F.lit(bound))
