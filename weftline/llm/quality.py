@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.store import written
+from weftline.llm.store import smallest, written
 
 DIM_BITS = 16
 DIM = 1 << DIM_BITS
@@ -106,7 +106,8 @@ def fit(training: DataFrame, *, sample_rows: int = 6000, cost: float = 1.0, epoc
     p[0, index[index >= 0]] += n0[index >= 0]
     p[1, index[index >= 0]] += n1[index >= 0]
     scale = np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum())
-    drawn = training.orderBy(F.xxhash64("row_key"), "row_key", "label").limit(sample_rows).select("text", "label").mapInArrow(_sampled_features, "f binary, label int").toArrow()
+    near = smallest(training, F.xxhash64("row_key"), sample_rows)
+    drawn = near.orderBy(F.xxhash64("row_key"), "row_key", "label", F.xxhash64("text")).limit(sample_rows).select("text", "label").mapInArrow(_sampled_features, "f binary, label int").toArrow()
     rows = [np.frombuffer(b, np.uint16).astype(np.int32) for b in drawn["f"].to_pylist()]
     y = np.where(drawn["label"].to_numpy() == 1, 1.0, -1.0)
     w, bias = dual_coordinate_descent(rows, y, scale, cost=cost, epochs=epochs)
