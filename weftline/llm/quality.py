@@ -146,12 +146,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     Labels of held-out documents, null labels and labels other than 0 and 1 are never read for fitting; a document
     labelled twice counts once, with its lower label. Rows that repeat a doc_id are training rows each. Null text is
-    empty text; rows without doc_id are scored and never trained on. Columns of those three names are replaced.
+    empty text; rows without doc_id are scored and never trained on. Columns of those three names are replaced. Labels
+    are joined by a sort and merge at every size, since their table grows with the documents.
     """
     docs = docs.drop("held_out", "score", "predicted")
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     own = docs.where(~held_out("doc_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    training = written(own.join(marked, "doc_id").select(F.col("doc_id").alias("row_key"), "text", "label"), "quality-training")
+    training = written(own.join(marked.hint("merge"), "doc_id").select(F.col("doc_id").alias("row_key"), "text", "label"), "quality-training")
     scored = score_texts(docs, fit(training, **options))
     return scored.select(*docs.columns, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
