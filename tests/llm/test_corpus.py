@@ -186,6 +186,31 @@ def test_lm(spark, texts):
     assert lm.lm_scores(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [65_536, 50])
+def test_lm_tells_rare_words_apart_by_what_came_before(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_WORDS", hot)  # with 50, most words are in hashed leaves
+    train = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = [f"first{i} second{i}" for i in range(400)]
+    rows = [(i, " ".join(random.Random(i).sample(pairs, 200))) for i in train]
+    swapped = " ".join(f"first{i} second{(i + 7) % 400}" for i in range(400))
+    right, wrong = (lm.lm_scores(table(spark, [*rows, (None, t)])).where("doc_id is null").first() for t in (" ".join(pairs), swapped))
+    assert math.isclose(right["base_score"], wrong["base_score"], abs_tol=1e-6)
+    assert right["score"] > wrong["score"] + 100 and right["score"] > right["base_score"] + 100
+
+
+def test_lm_sizes_grow_with_the_words():
+    small, large = lm.sizes_for(400_000), lm.sizes_for(40_000_000)
+    assert all(a < b for a, b in zip(small, large, strict=True))
+
+
+def test_lm_leaves_sum_to_one():
+    chance = np.random.default_rng(4)
+    model = lm.Model.start(chance.integers(1, 90, 300) + 0.5, 12)
+    model.table[:] = chance.normal(size=1 << 12)
+    codes = [np.full(300, c, np.uint64) for c in (5, 77, 1234567)]
+    assert math.isclose(np.exp(model.log_prob(codes, np.arange(300))).sum(), 1, rel_tol=1e-4)
+
+
 def test_near_duplicates(spark, texts):
     rows = texts + [(1000 + i, " ".join(f"w{x}" if x != i % 190 else f"e{i}" for x in range(190))) for i in range(50)]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table(spark, rows)).collect()}

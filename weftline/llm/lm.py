@@ -1,15 +1,18 @@
 """LM scoring by a hashed maximum-entropy model.
 
-The frequent words, the end of a text and one class of all other words are predicted from hashed features of what came
-before: the last word, the last two, and the last but one alone (skip). A word's probability is that of its class given
-the features times that of the word given class and features (class-factored softmax); another word's is shared out by
-its count. Weights are trained by distributed gradient updates: rounds over disjoint parts of the training texts, in
-which each task updates its own copy, and the copies' changes are averaged by how often each feature was seen. Counts
-of all words come from all training texts. Scoring works on batches of token arrays.
+Every word and the end of a text are predicted from hashed features of what came before: the last word, the last two,
+and the last but one alone (skip). A word's probability is a product of two-way choices down a Huffman tree, each of
+them logistic in the features. The frequent words are leaves of their own; each other word falls into one of many
+hashed leaves, whose words share its probability by their counts. Leaves and buckets of features grow with the number
+of different training words. Weights are trained by distributed gradient updates: rounds over disjoint parts of the
+training texts, in which each task updates its own copy, and the copies' changes are averaged by how often each bucket
+was seen. Counts of all words come from all training texts. Scoring works on batches of token arrays.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,13 +25,31 @@ from pyspark.sql import functions as F
 
 from weftline.llm.store import written
 
-SIDE = 16  # classes, and words of a class
-TABLE_BITS = (13, 14)  # buckets of the class table and of the word table
-HOT_WORDS = 65_536
-CHUNK = 32_768
+HOT_WORDS = 65_536  # frequent words at least, where there are so many
+CHUNK = 8_192
+LEARN_CHUNK = 32_768
 BATCH_TOKENS = 200_000
-BLOCK = 512
-OTHER, END = 0, SIDE  # all other words are a class of their own; the end of a text is the first word of the next
+CALM = 32
+BLOCK = 4096
+END = 0  # the leaf of a text's end; frequent words follow, then the hashed leaves
+
+
+def _power(x: float) -> int:
+    return max(0, math.ceil(math.log2(max(x, 1))))
+
+
+def sizes_for(kinds: int) -> tuple[int, int, int]:
+    """Most frequent words, hashed leaves for the rest, and bits of the bucket number, for so many different words.
+
+    All three grow as the square root of it, and so do the tasks of a round with the tokens (tasks_for): what the
+    tasks send in a round then grows as the input, and what each holds more slowly.
+    """
+    hot = min(kinds, max(HOT_WORDS, int(64 * math.sqrt(kinds))))
+    return hot, 1 << _power(16 * math.sqrt(kinds - hot)), _power(1024 * math.sqrt(kinds))
+
+
+def tasks_for(n_tokens: int) -> int:
+    return max(12, int(math.sqrt(n_tokens) / 800))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -51,17 +72,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """Numbers of words within a task, with each word's hash, model word and count (-1: not among the frequent)."""
+    """Numbers of words within a task, with each word's hash and leaf."""
 
-    def __init__(self, model: dict[bytes, int], hot: dict[bytes, int]):
-        self.model, self.hot, words = model, hot, self
+    def __init__(self, vocabulary: dict[bytes, int], tail: int):
+        words, first = self, 1 + len(vocabulary)
 
         class Known(dict):
             def __missing__(self, word):
                 self[word] = n = len(self) + 2
                 if n >= len(words.hash):
                     words._grow()
-                words.hash[n], words.index[n], words.count[n] = xxhash.xxh3_64_intdigest(word), model.get(word, OTHER), hot.get(word, -1)
+                leaf = vocabulary.get(word)
+                words.hash[n], words.leaf[n] = xxhash.xxh3_64_intdigest(word), first + zlib.crc32(word) % tail if leaf is None else leaf
                 return n
 
         self._known = Known
@@ -69,11 +91,11 @@ class Words:
 
     def clear(self) -> None:
         self.known = self._known()
-        self.hash, self.index, self.count = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), np.full(1 << 16, -1, np.int64)
-        self.hash[:2], self.index[1] = (11, 13), END  # 0 stands before a text, 1 for its end
+        self.hash, self.leaf = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.hash[:2], self.leaf[1] = (11, 13), END  # 0 stands before a text, 1 for its end
 
     def _grow(self) -> None:
-        self.hash, self.index, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.index, self.count))
+        self.hash, self.leaf = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.leaf))
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words) + 1, np.int32)
@@ -84,11 +106,11 @@ class Words:
 
 def _bucket(code: np.ndarray, salt: int, bits: int) -> np.ndarray:
     h = (code + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.uint16)
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def contexts(parts: list[np.ndarray], words: Words) -> tuple[list[np.ndarray], np.ndarray]:
-    """Codes of the three features of each token of texts laid end to end, and each token's model word."""
+    """Codes of the three features of each token of texts laid end to end, and each token's leaf."""
     flat, at = np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
     last = np.zeros_like(flat)
     last[1:] = flat[:-1]
@@ -98,64 +120,104 @@ def contexts(parts: list[np.ndarray], words: Words) -> tuple[list[np.ndarray], n
     before[at] = 0
     before[at[at + 1 < len(flat)] + 1] = 0
     one, two = words.hash[last], words.hash[before]
-    return [one, one * np.uint64(31) + two * np.uint64(0xD1342543DE82EF95), two ^ np.uint64(0xA5A5A5A5)], words.index[flat]
+    return [one, one * np.uint64(31) + two * np.uint64(0xD1342543DE82EF95), two ^ np.uint64(0xA5A5A5A5)], words.leaf[flat]
+
+
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parent of each node and weight of each: leaves in the order given, then inner nodes, the root last."""
+    n = len(weights)
+    order, parent, total = np.argsort(weights, kind="stable").tolist(), [0] * (2 * n - 1), [*weights.tolist(), *[0.0] * (n - 1)]
+    leaf, inner = 0, n
+    for new in range(n, 2 * n - 1):
+        for _ in range(2):
+            if inner == new or (leaf < n and total[order[leaf]] <= total[inner]):
+                x, leaf = order[leaf], leaf + 1
+            else:
+                x, inner = inner, inner + 1
+            parent[x] = new
+            total[new] += total[x]
+    return np.array(parent, np.int32), np.array(total)
+
+
+class Tree:
+    """The way to each leaf: from ends[leaf - 1] to ends[leaf], its choices' hashes, biases and directions (1 or -1)."""
+
+    def __init__(self, parent: np.ndarray, total: np.ndarray, bits: int):
+        n = (len(parent) + 1) // 2
+        children = np.argsort(parent[:-1], kind="stable")
+        right = np.zeros(len(parent), bool)
+        right[children[1::2]] = True
+        odds = np.zeros(len(parent), np.float32)
+        odds[parent[children[1::2]]] = np.log(total[children[1::2]] / total[children[::2]])
+        at, leaf, steps = np.arange(n), np.arange(n), []
+        while len(at):
+            inside = at != len(parent) - 1
+            at, leaf = at[inside], leaf[inside]
+            steps.append((leaf, parent[at], right[at]))
+            at = parent[at]
+        leaf, node, right = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(leaf, kind="stable")
+        node, self.way = node[order].astype(np.uint64), np.where(right[order], 1, -1).astype(np.float32)
+        self.node, self.bias = _bucket(node, 29, bits), odds[node.astype(np.int64)] * self.way
+        self.length = np.bincount(leaf, minlength=n)
+        self.begin = np.cumsum(self.length) - self.length
 
 
 class Model:
-    def __init__(self, class_bias, word_bias, tables):
-        self.class_bias, self.word_bias, self.tables = class_bias, word_bias, tables
+    def __init__(self, parent: np.ndarray, total: np.ndarray, table: np.ndarray):
+        self.parent, self.total, self.table = parent, total, table
+        self.bits, self._tree = _power(len(table)), None
 
     @classmethod
-    def start(cls, counts: np.ndarray) -> "Model":
-        """No features yet: the words' own frequencies."""
-        p = (counts + 0.5).reshape(SIDE, SIDE)
-        p[0, 1:] = 1e-9
-        by_class = p.sum(axis=1)
-        return cls(np.log(by_class / by_class.sum()).astype(np.float32), np.log(p / by_class[:, None]).astype(np.float32), [np.zeros((1 << b, SIDE), np.float32) for b in TABLE_BITS])
-
-    def _parts(self, codes, target):
-        """For classes, then for words of the target's class: table, rows, buckets of the features, bias, wanted column."""
-        kind, word = target // SIDE, target % SIDE
-        yield 0, slice(None), [_bucket(c, 1 + i, TABLE_BITS[0]) for i, c in enumerate(codes)], self.class_bias[None, :], kind
-        rows = np.flatnonzero(kind)
-        if len(rows):
-            inside = kind[rows].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-            yield 1, rows, [_bucket(c[rows] + inside, 7 + i, TABLE_BITS[1]) for i, c in enumerate(codes)], self.word_bias[kind[rows]], word[rows]
-
-    def log_prob(self, codes, target) -> np.ndarray:
-        """Natural log of each token's model word."""
-        out = np.zeros(len(target))
-        for at in range(0, len(target), CHUNK):
+    def start(cls, weights: np.ndarray, bits: int) -> "Model":
+        """No features yet: the leaves' own frequencies."""
+        return cls(*huffman(weights), np.zeros(1 << bits, np.float32))
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tree": None}
+
+    @property
+    def tree(self) -> Tree:
+        if self._tree is None:
+            self._tree = Tree(self.parent, self.total, self.bits)
+        return self._tree
+
+    def _choices(self, codes, leaf):
+        """Each token's choices laid end to end: their number by token, buckets of the features, direction, and log-odds of going right in that direction."""
+        tree = self.tree
+        n = tree.length[leaf]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(tree.begin[leaf] - first, n)
+        node, way = tree.node[at], tree.way[at]
+        buckets = [np.repeat(_bucket(c, 1 + i, self.bits), n) ^ node for i, c in enumerate(codes)]
+        z = self.table[buckets[0]]
+        z += self.table[buckets[1]]
+        z += self.table[buckets[2]]
+        z *= way
+        z += tree.bias[at]
+        return n, first, buckets, way, z
+
+    def log_prob(self, codes, leaf) -> np.ndarray:
+        """Natural log of each token's leaf."""
+        out = np.zeros(len(leaf))
+        for at in range(0, len(leaf) if len(self.parent) > 1 else 0, CHUNK):
             cut = slice(at, at + CHUNK)
-            for k, rows, buckets, bias, want in self._parts([c[cut] for c in codes], target[cut]):
-                z = self.tables[k][buckets[0]]
-                z += self.tables[k][buckets[1]]
-                z += self.tables[k][buckets[2]]
-                z += bias
-                z -= z.max(axis=1, keepdims=True)
-                out[cut][rows] += z[np.arange(len(want)), want] - np.log(np.exp(z).sum(axis=1))
+            _, first, _, _, z = self._choices([c[cut] for c in codes], leaf[cut])
+            np.clip(z, -60, 60, out=z)
+            out[cut] = -np.add.reduceat(np.log1p(np.exp(-z)), first, dtype=np.float64)
         return out
 
-    def learn(self, codes, target, rate: float, seen: list[np.ndarray]) -> None:
-        for at in range(0, len(target), CHUNK):
-            cut = slice(at, at + CHUNK)
-            for k, _, buckets, bias, want in self._parts([c[cut] for c in codes], target[cut]):
-                table = self.tables[k]
-                z = table[buckets[0]]
-                z += table[buckets[1]]
-                z += table[buckets[2]]
-                z += bias
-                z -= z.max(axis=1, keepdims=True)
-                np.exp(z, out=z)
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(want)), want] -= 1
-                for b in buckets:
-                    order = np.argsort(b, kind="stable")
-                    ordered = b[order]
-                    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                    n = np.diff(np.append(first, len(b))).astype(np.float32)
-                    table[ordered[first]] -= np.add.reduceat(z[order], first, axis=0) * (rate / (n + 4))[:, None]
-                    seen[k][ordered[first]] += n
+    def learn(self, codes, leaf, rate: float, seen: np.ndarray) -> None:
+        """Steps along the mean gradient of each bucket, shorter for buckets seen little in this chunk or much before it."""
+        for at in range(0, len(leaf), LEARN_CHUNK):
+            cut = slice(at, at + LEARN_CHUNK)
+            _, _, buckets, way, z = self._choices([c[cut] for c in codes], leaf[cut])
+            np.clip(z, -60, 60, out=z)
+            up = way / (1 + np.exp(z))
+            flat = np.concatenate(buckets)
+            n = np.bincount(flat, minlength=len(self.table)).astype(np.float32)
+            self.table += 4 * rate * np.bincount(flat, np.tile(up, 3), len(self.table)).astype(np.float32) / (n + seen + CALM)
+            seen += n
 
 
 def _grouped(texts: Iterator, words: Words) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -177,63 +239,58 @@ def _grouped(texts: Iterator, words: Words) -> Iterator[tuple[list, list[np.ndar
 
 
 def _round(held, rate: float):
-    """A mapInArrow function: one task's changes of the tables, weighted by how often each bucket was seen."""
+    """A mapInArrow function: one task's changes of the table, weighted by how often each bucket was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, start = held.value
-        model = Model(start.class_bias, start.word_bias, [t.copy() for t in start.tables])
-        words, seen = Words(vocabulary, {}), [np.zeros(1 << b, np.float32) for b in TABLE_BITS]
+        vocabulary, tail, start = held.value
+        model = Model(start.parent, start.total, start.table.copy())
+        words, seen = Words(vocabulary, tail), np.zeros(len(start.table), np.float32)
         for _, parts in _grouped(((None, t) for batch in batches for t in batch.column(0).to_pylist()), words):
             model.learn(*contexts(parts, words), rate, seen)
-        for k, table in enumerate(model.tables):
-            change = (table - start.tables[k]) * seen[k][:, None]
-            for at in range(0, len(table), BLOCK):
-                if seen[k][at : at + BLOCK].any():
-                    values = np.concatenate([change[at : at + BLOCK], seen[k][at : at + BLOCK, None]], axis=1).astype("<f4")
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["k", "at", "change"])
+        change = (model.table - start.table) * seen
+        for at in range(0, len(change), BLOCK):
+            if seen[at : at + BLOCK].any():
+                values = np.stack([change[at : at + BLOCK], seen[at : at + BLOCK]]).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["at", "change"])
 
     return run
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, "<f4").astype(np.float64) for c in pdf["change"])
-    return pd.DataFrame({"k": [pdf["k"].iloc[0]], "at": [pdf["at"].iloc[0]], "change": [total.astype("<f8").tobytes()]})
+    change, seen = sum(np.frombuffer(c, "<f4").astype(np.float64) for c in pdf["change"]).reshape(2, -1)
+    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "change": [(change / np.maximum(seen, 1)).astype("<f4").tobytes()]})
 
 
-def train(texts: DataFrame, vocabulary: dict[bytes, int], counts: np.ndarray, *, rounds: int = 3, rate: float = 0.6) -> Model:
+def train(texts: DataFrame, vocabulary: dict[bytes, int], tail: int, model: Model, *, tasks: int, rounds: int = 3, rate: float = 0.6) -> Model:
     """texts: (text, part) of training documents; part, from 0 to rounds - 1, says in which round a text is used."""
-    model = Model.start(counts)
     for at in range(rounds):
-        held = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
-        changes = texts.where(F.col("part") == at).select("text").mapInArrow(_round(held, rate), "k int, at int, change binary")
-        tables = [t.copy() for t in model.tables]
-        for r in changes.groupBy("k", "at").applyInPandas(_summed, "k int, at int, change binary").toLocalIterator():
-            values = np.frombuffer(bytes(r["change"]), "<f8").reshape(-1, SIDE + 1)
-            tables[r["k"]][r["at"] : r["at"] + len(values)] += (values[:, :-1] / np.maximum(values[:, -1:], 1)).astype(np.float32)
-        model = Model(model.class_bias, model.word_bias, tables)
+        held = texts.sparkSession.sparkContext.broadcast((vocabulary, tail, model))
+        changes = texts.where(F.col("part") == at).select("text").coalesce(tasks).mapInArrow(_round(held, rate), "at int, change binary")
+        table = model.table.copy()
+        for r in changes.groupBy("at").applyInPandas(_summed, "at int, change binary").toLocalIterator():
+            values = np.frombuffer(bytes(r["change"]), "<f4")
+            table[r["at"] : r["at"] + len(values)] += values
+        model = Model(model.parent, model.total, table)
     return model
 
 
 def _score(held):
-    """A mapInArrow function: a row for each text, with what the frequent words give and the rest listed."""
+    """A mapInArrow function: a row for each text, with what the leaves give and the words of hashed leaves listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, hot, model, base_total, other_total, end_count = held.value
-        words = Words(vocabulary, hot)
+        vocabulary, tail, model, count, share_total, base_total = held.value
+        words, hot = Words(vocabulary, tail), len(vocabulary)
         rows = (((doc, out), text) for batch in batches for doc, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for own, parts in _grouped(rows, words):
-            codes, target = contexts(parts, words)
-            given = model.log_prob(codes, target) / np.log(10)
+            codes, leaf = contexts(parts, words)
+            given = model.log_prob(codes, leaf) / np.log(10)
             at = np.cumsum([0, *map(len, parts)])
-            flat = np.concatenate(parts)
-            count = np.where(flat == 1, end_count, words.count[flat])
-            known = count >= 0
-            share = np.log10(np.maximum(count, 0) + 0.5)
-            base = np.where(known, share - np.log10(base_total), 0.0)
-            given += np.where(known & (target == OTHER), share - np.log10(other_total), 0.0)
+            known = leaf <= hot
+            base = np.where(known, np.log10(count[np.minimum(leaf, hot)] + 0.5) - np.log10(base_total), 0.0)
+            given -= np.where(known, 0.0, np.log10(share_total[np.maximum(leaf - 1 - hot, 0)]))
             total = lambda x: np.add.reduceat(x, at[:-1])
             rare = [Counter(w for w, k in zip(ws, known[a : b - 1].tolist(), strict=True) if not k) for (_, ws), a, b in zip(own, at[:-1], at[1:], strict=True)]
-            columns = [[d for (d, _), _ in own], [o for (_, o), _ in own], np.diff(at), total(known.astype(np.int64)) - (0 if end_count else 1), total(base), total(given), [list(r.keys()) for r in rare], [list(r.values()) for r in rare]]
+            columns = [[d for (d, _), _ in own], [o for (_, o), _ in own], np.diff(at), total(known.astype(np.int64)) - (0 if count[END] else 1), total(base), total(given), [list(r.keys()) for r in rare], [list(r.values()) for r in rare]]
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "known", "base", "given", "rare", "times"])
 
@@ -246,8 +303,9 @@ def lm_scores(docs: DataFrame, *, folds: int = 5, rounds: int = 3, rate: float =
     held_out documents (crc32 of the doc_id as text, mod folds, is 1) are never learned from, nor are rows without
     doc_id (not held out, but scored). Null, empty and blank texts are one end token. base_score is the add-half
     unigram's log10 probability over counts of all training texts, score the model's; where nothing is to be learned
-    from, score equals base_score. Repeated rows count each. What driver and tasks hold is bounded: the weights, the
-    65,536 most frequent words; all other words meet their counts in a join, and none of those can be frequent there.
+    from, score equals base_score. Repeated rows count each. Driver and tasks hold the weights, the most frequent words
+    and the hashed leaves, which all grow as the square root of the number of different words; the other words meet
+    their counts in a join, and none of those can be frequent there.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text")
@@ -256,17 +314,20 @@ def lm_scores(docs: DataFrame, *, folds: int = 5, rounds: int = 3, rate: float =
     ends = training.count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, v_all = total + ends, kinds + (ends > 0)
-    frequent = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()]
-    inside = frequent[: SIDE * SIDE - SIDE - 1]
-    vocabulary = {w: SIDE + 1 + i for i, (w, _) in enumerate(inside)}
-    known = sum(n for _, n in inside)
-    sizes = np.zeros(SIDE * SIDE)
-    sizes[[OTHER, END]] = total - known, ends
-    sizes[SIDE + 1 : SIDE + 1 + len(inside)] = [n for _, n in inside]
+    hot, tail, bits = sizes_for(kinds)
+    frequent = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(hot).collect()]
+    vocabulary = {w: 1 + i for i, (w, _) in enumerate(frequent)}
+    count = np.array([ends, *(n for _, n in frequent)], np.float64)
+    shared = np.full(tail, 0.5)  # of a hashed leaf: its words' counts and a half each, and a half for an unknown word
+    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(tail)).alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        shared[r["leaf"]] += r["n"] + 0.5 * r["kinds"]
+    np.subtract.at(shared, [zlib.crc32(w) % tail for w, _ in frequent], count[1:] + 0.5)
     parts = training.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).cast("int").alias("part"))
-    model = train(parts, vocabulary, sizes, rounds=rounds, rate=rate) if ends else Model.start(sizes)
-    base_total, other_total = n_all + 0.5 * (v_all + 1), total - known + 0.5 * (kinds - len(inside) + 1)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, dict(frequent), model, base_total, other_total, ends))
+    model = Model.start(np.concatenate([count + 0.5, shared]), bits)
+    if ends:
+        model = train(parts, vocabulary, tail, model, tasks=tasks_for(n_all), rounds=rounds, rate=rate)
+    base_total = n_all + 0.5 * (v_all + 1)
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, tail, model, count, shared, base_total))
     scanned = docs.mapInArrow(_score(held), "doc_id long, held_out boolean, n_tokens long, known long, base double, given double, rare array<binary>, times array<long>")
     rows = written(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
@@ -274,9 +335,9 @@ def lm_scores(docs: DataFrame, *, folds: int = 5, rounds: int = 3, rate: float =
     both = rows.drop("rare", "times").join(met, "row", "left").withColumns({"met": F.coalesce("met", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})
     first_end = 0 if ends else 1
     unknown = F.col("n_tokens") - F.col("known") - F.col("met") - first_end
-    rest = lambda whole: F.col("logs") + unknown * F.lit(float(np.log10(0.5))) - (F.col("met") + unknown) * F.lit(float(np.log10(whole)))
-    base = F.col("base") + rest(base_total)
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("met")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("given") + rest(other_total) if ends else base).alias("score"))
+    rest = F.col("logs") + unknown * F.lit(float(np.log10(0.5)))
+    base = F.col("base") + rest - (F.col("met") + unknown) * F.lit(float(np.log10(base_total)))
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("met")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("given") + rest if ends else base).alias("score"))
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
