@@ -168,6 +168,19 @@ def test_pii_search_agrees_with_exhaustive_segmentation():
     assert field.best(w) == max(every(0))[1]
 
 
+def test_pii_spans_in_long_runs_do_not_depend_on_where_they_stand():
+    w = np.random.default_rng(3).normal(size=pii.DIM)
+    w[zlib.crc32(b"phone|words3") % pii.DIM] += 60
+    chance = random.Random(2)
+    words = [chance.choice(["12", "a@b", "(555)", "1.2.3.4", "743", "38-24", "4111"]) for _ in range(300)]
+    best = pii.Field(words).best(w)
+    assert pii.best_segments(iter(words), w) == best
+    assert any(i < at < j and t != "O" for at in range(64, 300, 64) for i, j, t in best)
+    starts = np.cumsum([0, *(len(x) + 1 for x in words)])
+    want = [(starts[i], pii.KINDS.index(t), starts[j] - 1) for i, j, t in best if t != "O"]
+    assert pii.added_spans(" ".join(words), [], w) == want
+
+
 def test_lm(spark, texts):
     got = {(r["doc_id"], r["n_tokens"]): r for r in lm.lm_scores(table(spark, texts)).collect()}
     words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())

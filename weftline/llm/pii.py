@@ -161,19 +161,39 @@ def regions(text: str, base: list[tuple[int, int, int]]) -> Iterator[list[tuple[
         yield run
 
 
+def best_segments(words: Iterator[str], w: np.ndarray) -> list[tuple[int, int, str]]:
+    """What Field(words).best(w) gives; of the words and scores only the last MOST_WORDS are held, besides a pointer a word."""
+    top, back, near, n = [0.0], [None], [], 0
+    for word in words:
+        n, near = n + 1, [*near[1 - MOST_WORDS :], word]
+        best, step = -math.inf, None
+        for i in range(n - len(near), n):
+            start = top[i - n]
+            for t, c in _codes(near[i - n :]).items():
+                s = start + float(w[c].sum())
+                if s > best:
+                    best, step = s, (i, t)
+        top = [*top[1 - MOST_WORDS :], best]
+        back.append(step)
+    out = []
+    while n:
+        i, t = back[n]
+        out.append((i, n, t))
+        n = i
+    return out[::-1]
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> list[tuple[int, int, int]]:
     out = []
     for run in regions(text, base):
-        for at in range(0, len(run), 64):  # segments don't cross from one block of 64 words to the next
-            part = run[at : at + 64]
-            for i, j, t in Field([text[a:b] for a, b in part]).best(w):
-                if t != "O":
-                    a, b = part[i][0], part[j - 1][1]
-                    span = text[a:b]
-                    a += len(span) - len(span.lstrip(_TRIM))
-                    b -= len(span) - len(span.rstrip(_TRIM))
-                    if a < b and not any(x < b and a < y for x, _, y in base):
-                        out.append((a, KINDS.index(t), b))
+        for i, j, t in best_segments((text[a:b] for a, b in run), w):
+            if t != "O":
+                a, b = run[i][0], run[j - 1][1]
+                span = text[a:b]
+                a += len(span) - len(span.lstrip(_TRIM))
+                b -= len(span) - len(span.rstrip(_TRIM))
+                if a < b and not any(x < b and a < y for x, _, y in base):
+                    out.append((a, KINDS.index(t), b))
     return out
 
 
