@@ -181,6 +181,15 @@ def test_pii_spans_in_long_runs_do_not_depend_on_where_they_stand():
     assert pii.added_spans(" ".join(words), [], w) == want
 
 
+def test_pii_training_draws_runs_from_all_sampled_texts(spark, monkeypatch):
+    seen = []
+    own = pii.Field.__init__
+    monkeypatch.setattr(pii.Field, "__init__", lambda self, words: (seen.append(words), own(self, words))[1])
+    pii.train(table(spark, [(i, " word ".join(f"{90_000 + i} {x}" for x in range(10))) for i in range(40)]), most_runs=10, epochs=1)
+    texts = [words[0] for words in seen if words[0].startswith("900")]
+    assert len(texts) == 10 and len(set(texts)) > 4
+
+
 def test_lm(spark, texts):
     got = {(r["doc_id"], r["n_tokens"]): r for r in lm.lm_scores(table(spark, texts)).collect()}
     words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())

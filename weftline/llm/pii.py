@@ -257,11 +257,15 @@ _PLAIN = ("7", "42", "1999", "2024-05-17", "12:30", "3.14", "10,000", "v2.1.3",
 
 
 def train(docs: DataFrame, *, sample_rows: int = 2000, most_runs: int = 2500, epochs: int = 4, seed: int = 11) -> np.ndarray:
-    """Weights from the sample_rows distinct texts, of those with a digit or @, whose hash is smallest."""
+    """Weights from the sample_rows distinct texts, of those with a digit or @, whose hash is smallest.
+
+    Of the runs of all those texts, the most_runs whose hash is smallest are learned from, wherever they stand.
+    """
     near = smallest(docs.where(F.col("text").rlike("[0-9@]")).select("text"), F.xxhash64("text"), sample_rows)
     drawn = near.distinct().orderBy(F.xxhash64("text"), "text").limit(sample_rows).select(F.col("text")).mapInArrow(_drawn(seed), "run array<string>, gold array<string>")
-    runs = [(r["run"], [(int(a), int(b), t) for a, b, t in (g.split(":") for g in r["gold"])]) for r in drawn.limit(4 * most_runs).collect()]
-    runs = sorted(runs, key=lambda r: zlib.crc32(repr(r).encode()))[:most_runs]
+    few = drawn.orderBy(F.xxhash64("run", "gold"), "run", "gold").limit(most_runs)
+    runs = [(r["run"], [(int(a), int(b), t) for a, b, t in (g.split(":") for g in r["gold"])]) for r in few.collect()]
+    runs.sort(key=lambda r: zlib.crc32(repr(r).encode()))
     runs += [(p.split(), [(i, i + 1, "O") for i in range(len(p.split()))]) for p in _PLAIN] * max(1, len(runs) // 100)
     w, chance = np.zeros(DIM), random.Random(seed)
     w[[zlib.crc32(b"O|bias") % DIM]] = 1.0
