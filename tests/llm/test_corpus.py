@@ -115,6 +115,13 @@ def test_repeats(spark, texts):
     assert substring.drop_repeats(table(spark, [])).count() == 0
 
 
+def test_repeats_of_a_source_whose_row_is_repeated(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"one {passage} one"), (1, f"one {passage} one"), (2, f"two {passage} two"), (3, f"three {passage}"), (3, f"three {passage}")]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in substring.drop_repeats(table(spark, rows)).collect())
+    assert got == [(1, rows[0][1], 0)] * 2 + [(2, "two two", 60)] + [(3, "three", 60)] * 2
+
+
 def test_shards(spark, texts):
     rows = texts + [(300 + i, "same text in many documents") for i in range(150)]
     got = sharding.assign_shards(table(spark, rows), shards=4).collect()

@@ -178,6 +178,11 @@ def _maybe_in(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("_has").drop("_has"), marked.where("not _has").drop("_has")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """Each different row once, dealt as the joins by (doc_id, tag) need it: a repeated row would double its places."""
+    return docs.repartition("doc_id", "tag").dropDuplicates(["doc_id", "tag", "text"])
+
+
 def repeated_spans(docs: DataFrame, *, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """Spans (doc_id, tag, spans) of words to remove, and copies (doc_id, tag) that go as a whole.
 
@@ -193,7 +198,7 @@ def repeated_spans(docs: DataFrame, *, k: int = 50) -> tuple[DataFrame, DataFram
     shared = least.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("m")
     lists = written(least.join(shared, "m", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list("m").alias("shared")), "substring-shared")
     likely, _ = _maybe_in(docs, lists)
-    edges = written(likely.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "shared").mapInArrow(_edges(k), "edge long, more int, doc_id long, tag int, at int, next int, prev int"), "substring-edges")
+    edges = written(_once(likely).join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "shared").mapInArrow(_edges(k), "edge long, more int, doc_id long, tag int, at int, next int, prev int"), "substring-edges")
 
     degrees = edges.groupBy("edge", "more").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), ((F.min("next") == F.max("next")) & (F.min("next") != 0)).alias("one_next"), ((F.min("prev") == F.max("prev")) & (F.min("prev") != 0)).alias("one_prev")).where("lo <> hi")
     known = edges.select("edge", "more", "doc_id", "tag", "at").join(degrees.select("edge", "more", "one_next", "one_prev"), ["edge", "more"])
@@ -203,7 +208,7 @@ def repeated_spans(docs: DataFrame, *, k: int = 50) -> tuple[DataFrame, DataFram
     paths = paths.groupBy("doc_id", "tag", "path").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     paths = written(paths.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("paths")), "substring-paths")
     likely, _ = _maybe_in(docs, paths)
-    places = written(likely.join(paths, ["doc_id", "tag"]).select("doc_id", "tag", "text", "paths").mapInArrow(_digests(k), "doc_id long, tag int, start int, end int, digest binary"), "substring-places")
+    places = written(_once(likely).join(paths, ["doc_id", "tag"]).select("doc_id", "tag", "text", "paths").mapInArrow(_digests(k), "doc_id long, tag int, start int, end int, digest binary"), "substring-places")
     source = places.groupBy("digest").agg(F.min("doc_id").alias("source"))
     gone = places.join(source, "digest").where(F.col("doc_id") > F.col("source"))
     return gone.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans")), copies
