@@ -267,3 +267,9 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_components_are_whole_or_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(links, rounds=2)

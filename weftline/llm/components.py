@@ -9,7 +9,10 @@ from weftline.llm.store import written
 
 
 def components(links: DataFrame, *, rounds: int = 40) -> DataFrame:
-    """(id, component) for every id in links (a, b): the smallest id that links reach. Nulls are left out."""
+    """(id, component) for every id in links (a, b): the smallest id that links reach. Nulls are left out.
+
+    RuntimeError where rounds run out before the links settle: components are whole or there are none.
+    """
     edges = links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     edges, seen = written(edges, "links"), None
     for _ in range(rounds):
@@ -25,5 +28,7 @@ def components(links: DataFrame, *, rounds: int = 40) -> DataFrame:
         if sums == seen:
             break
         seen = sums
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     found = edges.groupBy("hi").agg(F.min("lo").alias("component"))
     return found.select(F.col("hi").alias("id"), "component").unionByName(found.select(F.col("component").alias("id"), "component").distinct())
