@@ -263,6 +263,13 @@ def test_near_duplicates(spark, texts):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_each_text_of_a_repeated_doc_id(spark):
+    texts = [[f"{k}{i}" for i in range(150 + 40 * k)] for k in range(4)]
+    rows = [(1, " ".join(t)) for t in texts] + [(2 + k, " ".join([*t[:-1], "edit"])) for k, t in enumerate(texts)]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(table(spark, rows)).collect()}
+    assert got == {(i, 1) for i in range(1, 6)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(links).collect()}

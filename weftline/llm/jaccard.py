@@ -152,11 +152,11 @@ class _Join:
         self.texts, self.n, self.percent = texts, n, percent
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that link; both sets are read again for an exact count."""
+        """Pairs (a, b) of which any two sets link; all sets of both are read again for an exact count."""
         pairs = written(pairs.select("a", "b").distinct(), "jaccard-pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct().withColumn("tag", F.lit(0))
         likely, _ = _maybe_in(self.texts.withColumn("tag", F.lit(0)), ids)
-        sets = written(likely.join(ids.select("doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_sets(self.n), "id long, shingles array<long>").dropDuplicates(["id"]), "jaccard-sets")
+        sets = written(likely.join(ids.select("doc_id"), "doc_id").select("doc_id", "text").distinct().mapInArrow(_sets(self.n), "id long, shingles array<long>"), "jaccard-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         shared, union = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
         return both.where(shared * (100 + self.percent) >= union * self.percent).select("a", "b")
@@ -166,7 +166,7 @@ class _Join:
         short = index.where(F.col("n") <= LONG_LIST)
         a, b = (short.select("h", F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("mark").alias(f"mark_{k}"), F.col("long_lists").alias(f"long_{k}")) for k in ("a", "b"))
         p, close = self.percent, _may_link("a", "b", self.percent)
-        met = a.join(b, "h").where((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("size_a", "size_b", "long_a", "long_b")))
+        met = a.join(b, "h").where((F.col("a") < F.col("b")) & close).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("met"), *(F.max(c).alias(c) for c in ("long_a", "long_b")))
         beyond = F.greatest(*(F.ceil(F.col(s) * p / F.lit(100)) - 1 for s in ("size_a", "size_b")))
         return met.where(F.col("met") + F.least("long_a", "long_b") + beyond >= _overlap_needed("size_a", "size_b", p)).select("a", "b")
 
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     listed = written(texts.mapInArrow(_prefixes(classes, words, percent), "h long, id long, size int, place int, mark array<long>"), "jaccard-prefix")
     marks, listed = listed.where("place = 0").select("id", "mark"), listed.where("place > 0").drop("mark")
     shared = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    index = listed.join(shared, "h").join(marks.dropDuplicates(["id"]), "id")
+    index = listed.join(shared, "h").join(marks.distinct(), "id")
     per_set = Window.partitionBy("id")
     index = written(index.withColumns({"kept": F.count("*").over(per_set), "long_lists": F.count_if(F.col("n") > LONG_LIST).over(per_set)}), "jaccard-index")
     found = components(_Join(texts, words, percent).links(index))
