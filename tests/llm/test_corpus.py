@@ -220,7 +220,8 @@ def test_lm_tells_rare_words_apart_by_what_came_before(spark, monkeypatch, hot):
     monkeypatch.setattr(lm, "HOT_WORDS", hot)  # with 50, most words are in hashed leaves
     train = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 != 1]
     pairs = [f"first{i} second{i}" for i in range(400)]
-    rows = [(i, " ".join(random.Random(i).sample(pairs, 200))) for i in train]
+    common = " ".join(f"common{i}" for i in range(250)) + " "  # more frequent than any word of the pairs
+    rows = [(i, common * 2 + " ".join(random.Random(i).sample(pairs, 200))) for i in train]
     swapped = " ".join(f"first{i} second{(i + 7) % 400}" for i in range(400))
     right, wrong = (lm.lm_scores(table(spark, [*rows, (None, t)])).where("doc_id is null").first() for t in (" ".join(pairs), swapped))
     assert math.isclose(right["base_score"], wrong["base_score"], abs_tol=1e-6)
