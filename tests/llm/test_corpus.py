@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, components, decontaminate, jaccard, linededup, lm, pii, quality, sharding, substring, topk
+from weftline.llm import bpe, components, decontaminate, jaccard, linededup, lm, pii, quality, sharding, substring, topk, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -199,16 +200,16 @@ def test_pii_training_draws_runs_from_all_sampled_texts(spark, monkeypatch):
 
 def test_lm(spark, texts):
     got = {(r["doc_id"], r["n_tokens"]): r for r in lm.lm_scores(table(spark, texts)).collect()}
-    words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     train = [t for i, t in texts if i is not None and not held(i)]
-    counts = Counter(w for t in train for w in words(t))
+    counts = Counter(w for t in train for w in split(t))
     n, v = sum(counts.values()) + len(train), len(counts) + 1
     p = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     for i, t in texts:
-        r = got[i, len(words(t)) + 1]
-        assert r["train_tokens"] == n and r["n_known"] == sum(w in counts for w in words(t)) + 1
-        assert math.isclose(r["base_score"], sum(p(counts[w]) for w in words(t)) + p(len(train)), abs_tol=1e-6)
+        r = got[i, len(split(t)) + 1]
+        assert r["train_tokens"] == n and r["n_known"] == sum(w in counts for w in split(t)) + 1
+        assert math.isclose(r["base_score"], sum(p(counts[w]) for w in split(t)) + p(len(train)), abs_tol=1e-6)
         assert r["score"] < 0 and math.isfinite(r["score"])
     alone = lm.lm_scores(table(spark, [(None, "a b")])).first()
     assert (alone["train_tokens"], alone["n_known"], alone["base_score"], alone["score"]) == (0, 0, 0.0, 0.0)
@@ -235,12 +236,93 @@ def test_lm_sizes_grow_with_the_words():
 
 def test_lm_leaves_sum_to_one():
     chance = np.random.default_rng(4)
-    model = lm.Model.start(chance.integers(1, 90, 300) + 0.5, 12)
-    model.table[:] = chance.normal(size=1 << 12)
+    model = lm.Model.start(chance.integers(1, 90, 300) + 0.5, 10)
+    model.table[:] = chance.normal(size=model.table.shape)
     codes = [np.full(300, c, np.uint64) for c in (5, 77, 1234567)]
     assert math.isclose(np.exp(model.log_prob(codes, np.arange(300))).sum(), 1, rel_tol=1e-4)
 
 
+def test_lm_score_against_brute_force(spark, texts):
+    """Each token's probability by hand: its choices from the root down, one by one, and its share of a hashed leaf."""
+    train, rows = [(i, t) for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 5 != 1], texts
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    coded = lambda w: int(words.word_hashes(pa.array([w]))[0][0])
+    counts = Counter(w for _, t in train for w in split(t))
+    weights = np.array([len(train) + 0.5, *(n + 0.5 for n in sorted(counts.values(), reverse=True)[:20]), 40.0, 3.0])
+    by_hash = sorted(((-n, coded(w), w) for w, n in counts.items()))[:20]
+    vocabulary = lm.Vocabulary(np.array([h for _, h, _ in by_hash], np.uint64), 2)
+    model, seen = lm.Model.start(weights, 6), np.zeros(64, np.float32)
+    for _ in range(3):
+        codes, leaf, _, _ = lm.token_codes(pa.array([t for _, t in train]), vocabulary)
+        model.learn(codes, leaf, 0.6, seen)
+    assert model.table.any()
+    hot = {w: 1 + i for i, (_, _, w) in enumerate(by_hash)}
+    parent, n = model.parent.tolist(), len(weights)
+    ways = {}
+    for leaf in range(n):
+        at, way = leaf, []
+        while at != len(parent) - 1:
+            up = parent[at]
+            low, high = sorted(c for c in range(len(parent) - 1) if parent[c] == up)
+            way.append((up, 1 if at == high else -1, math.log(model.total[high] / model.total[low])))
+            at = up
+        ways[leaf] = way[::-1]
+
+    def log_prob(last, before, leaf):
+        features = [last, (last * 31 + before * 0xD1342543DE82EF95) % 2**64, before ^ 0xA5A5A5A5]
+        total, first, place = 0.0, None, 1
+        for depth, (node, way, bias) in enumerate(ways[leaf]):
+            if depth % 4 == 0:
+                first, place = node, 1
+            row = [int(lm._line(np.array([f], np.uint64), 1 + i, 6)[0]) ^ int(lm._line(np.array([first], np.uint64), 29, 6)[0]) for i, f in enumerate(features)]
+            z = way * (sum(float(model.table[r, place]) for r in row) + bias)
+            total -= math.log1p(math.exp(-z))
+            place = 2 * place + (way > 0)
+        return total
+
+    for _, t in rows:
+        want, last, before = 0.0, lm.BEFORE, lm.BEFORE
+        for w in [*split(t)[:400], None]:
+            code = lm.END_CODE if w is None else coded(w)
+            leaf = 0 if w is None else hot.get(w, 1 + 20 + (code >> 16) % 2)
+            want += log_prob(last, before, leaf)
+            last, before = code, last
+        codes, leaf, _, _ = lm.token_codes(pa.array([" ".join(split(t)[:400])]), vocabulary)
+        assert math.isclose(model.log_prob(codes, leaf).sum(), want, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_lm_takes_as_many_frequent_words_as_fit(spark):
+    counts = spark.createDataFrame([(i, 100 - i // 3) for i in range(60)], "word long, n long")
+    kept, n = lm.frequent_words(counts, 20)
+    assert sorted(kept.tolist()) == list(range(18)) and n.tolist() == sorted(n.tolist(), reverse=True)
+    assert len(lm.frequent_words(counts, 2)[0]) == 0 and len(lm.frequent_words(counts.limit(0), 5)[0]) == 0
+    assert len(lm.frequent_words(counts, 60)[0]) == 60
+
+
+def test_vocabulary_finds_its_words():
+    known = words.mixed(np.arange(1, 5000, dtype=np.uint64))
+    vocabulary = lm.Vocabulary(known, 7)
+    assert (vocabulary.leaves(known) == 1 + np.arange(len(known))).all()
+    assert (vocabulary.leaves(words.mixed(np.arange(5000, 9000, dtype=np.uint64))) > len(known)).all()
+
+
+def test_word_hashes():
+    chance = random.Random(1)
+    texts = [None, "", " ", "a", "A a", "x\0 \0x x", "ß" * 300_000 + " b c " + "d" * 600_000, " ".join(chance.choices(["ab", "Ab", "é", "\x1c", "a\x85b", "😀", "zz" * 9], k=60_000))]
+    texts += ["".join(chance.choices("ab \n\tAé", k=chance.randint(0, 40))) for _ in range(2000)]
+    for lower in (False, True):
+        column = pa.array(texts, pa.string())
+        got, bounds = words.word_hashes(column, lower)
+        one, other = {}, {}
+        for i, t in enumerate(texts):
+            plain = (t or "").encode()
+            split = (plain.lower() if lower else plain).split()
+            own = got[bounds[i] : bounds[i + 1]].tolist()
+            assert len(split) == len(own) and all(one.setdefault(w, h) == h and other.setdefault(h, w) == w for w, h in zip(split, own, strict=True))
+        part, begin = words.word_hashes(column.slice(5, 100), lower)
+        assert (part == got[bounds[5] : bounds[105]]).all() and begin[-1] == len(part)
+
+
 def test_near_duplicates(spark, texts):
     rows = texts + [(1000 + i, " ".join(f"w{x}" if x != i % 190 else f"e{i}" for x in range(190))) for i in range(50)]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table(spark, rows)).collect()}

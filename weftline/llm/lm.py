@@ -1,36 +1,40 @@
 """LM scoring by a hashed maximum-entropy model.
 
 Every word and the end of a text are predicted from hashed features of what came before: the last word, the last two,
-and the last but one alone (skip). A word's probability is a product of two-way choices down a Huffman tree, each of
-them logistic in the features. The frequent words are leaves of their own; each other word falls into one of many
-hashed leaves, whose words share its probability by their counts. Leaves and buckets of features grow with the number
-of different training words. Weights are trained by distributed gradient updates: rounds over disjoint parts of the
-training texts, in which each task updates its own copy, and the copies' changes are averaged by how often each bucket
-was seen. Counts of all words come from all training texts. Scoring works on batches of token arrays.
+and the last but one alone (skip). The softmax over words is factored into classes within classes, down to two-way
+choices (a Huffman tree over the training counts), each of them logistic in the features. The frequent words are leaves
+of their own; each other word falls into one of many hashed leaves, whose words share its probability by their counts.
+Leaves and buckets of features grow with the number of different training words. Weights are trained by distributed
+gradient updates: rounds over disjoint parts of the training texts, in which each task updates its own copy, and the
+copies' changes are averaged by how often each bucket was seen. Every training text is learned from once, and counts of
+all words come from all training texts. Learning and scoring take the choices of a batch of tokens level by level.
+
+A word is known by its 64-bit hash: two of 10^8 different words share one with a chance of 1 in 3,700.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.store import written
+from weftline.llm.words import mixed, sliced, word_hashes
 
 HOT_WORDS = 65_536  # frequent words at least, where there are so many
-CHUNK = 8_192
-LEARN_CHUNK = 32_768
-BATCH_TOKENS = 200_000
+CHUNK = 4_096
+COUNTED = 1 << 22  # words that a task holds before it counts them
 CALM = 32
-BLOCK = 4096
+DEEP, LINE = 4, 16  # choices of a group below one another, and weights of a line (place 0 is of no choice)
+HALVES = np.float32(0.5) ** np.arange(DEEP, dtype=np.float32)
+BLOCK = 1024  # lines that are summed together
+OCTAVE = 64  # classes of counts for each doubling, when the frequent words are looked for
+BEFORE, END_CODE = 11, 13  # stand for what comes before a text, and for its end
 END = 0  # the leaf of a text's end; frequent words follow, then the hashed leaves
 
 
@@ -39,88 +43,90 @@ def _power(x: float) -> int:
 
 
 def sizes_for(kinds: int) -> tuple[int, int, int]:
-    """Most frequent words, hashed leaves for the rest, and bits of the bucket number, for so many different words.
+    """Most frequent words, hashed leaves for the rest, and bits of the number of a line of weights, for so many different words.
 
     All three grow as the square root of it, and so do the tasks of a round with the tokens (tasks_for): what the
     tasks send in a round then grows as the input, and what each holds more slowly.
     """
     hot = min(kinds, max(HOT_WORDS, int(64 * math.sqrt(kinds))))
-    return hot, 1 << _power(16 * math.sqrt(kinds - hot)), _power(1024 * math.sqrt(kinds))
+    return hot, 1 << _power(4 * math.sqrt(kinds - hot)), _power(32 * math.sqrt(kinds))
 
 
 def tasks_for(n_tokens: int) -> int:
     return max(12, int(math.sqrt(n_tokens) / 800))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Runs of other than ASCII white space, A-Z lower-cased."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(counts):
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > 500_000:
-                yield rows(counts)
-                counts = Counter()
-    yield rows(counts)
-
-
-class Words:
-    """Numbers of words within a task, with each word's hash and leaf."""
-
-    def __init__(self, vocabulary: dict[bytes, int], tail: int):
-        words, first = self, 1 + len(vocabulary)
-
-        class Known(dict):
-            def __missing__(self, word):
-                self[word] = n = len(self) + 2
-                if n >= len(words.hash):
-                    words._grow()
-                leaf = vocabulary.get(word)
-                words.hash[n], words.leaf[n] = xxhash.xxh3_64_intdigest(word), first + zlib.crc32(word) % tail if leaf is None else leaf
-                return n
-
-        self._known = Known
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = self._known()
-        self.hash, self.leaf = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-        self.hash[:2], self.leaf[1] = (11, 13), END  # 0 stands before a text, 1 for its end
-
-    def _grow(self) -> None:
-        self.hash, self.leaf = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.leaf))
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
-        out[-1] = 1
+    def rows(held):
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+
+    held, size = [], 0
+    for batch in sliced(batches, 0):
+        held.append(word_hashes(batch.column(0), lower=True)[0])
+        size += len(held[-1])
+        if size > COUNTED:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+class Vocabulary:
+    """Leaves of words by their hash, in tables that each take what collides in the one before."""
+
+    def __init__(self, words: np.ndarray, tail: int):
+        self.words, self.tail, self.tables = words, tail, []
+        left, bits = np.arange(len(words)), _power(8 * max(len(words), 1))
+        while len(left):
+            salt = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables))
+            table = np.full(1 << bits, -1, np.int32)
+            table[self._slot(words[left], salt, bits)] = left
+            self.tables.append((salt, bits, table))
+            left = left[table[self._slot(words[left], salt, bits)] != left]
+            bits = _power(8 * max(len(left), 1))
+
+    @staticmethod
+    def _slot(words: np.ndarray, salt: np.uint64, bits: int) -> np.ndarray:
+        return (words * salt >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+
+    def leaves(self, words: np.ndarray) -> np.ndarray:
+        out = 1 + len(self.words) + ((words >> np.uint64(16)) % np.uint64(self.tail)).astype(np.int64)
+        for salt, bits, table in self.tables:
+            found = table[self._slot(words, salt, bits)]
+            hit = np.flatnonzero(found >= 0)
+            hit = hit[self.words[found[hit]] == words[hit]]
+            out[hit] = 1 + found[hit]
         return out
 
 
-def _bucket(code: np.ndarray, salt: int, bits: int) -> np.ndarray:
+def _line(code: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    """A number of so many bits."""
     h = (code + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+
+
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at]; at is in range, which spares numpy a slower way."""
+    return table.take(at, axis=0, mode="clip")
 
 
-def contexts(parts: list[np.ndarray], words: Words) -> tuple[list[np.ndarray], np.ndarray]:
-    """Codes of the three features of each token of texts laid end to end, and each token's leaf."""
-    flat, at = np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
-    last = np.zeros_like(flat)
-    last[1:] = flat[:-1]
-    last[at] = 0
-    before = np.zeros_like(flat)
-    before[2:] = flat[:-2]
-    before[at] = 0
-    before[at[at + 1 < len(flat)] + 1] = 0
-    one, two = words.hash[last], words.hash[before]
-    return [one, one * np.uint64(31) + two * np.uint64(0xD1342543DE82EF95), two ^ np.uint64(0xA5A5A5A5)], words.leaf[flat]
+def token_codes(texts: pa.Array, vocabulary: Vocabulary) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of texts end to end: codes of the three features, leaves and words; and where each text's begin."""
+    words, bounds = word_hashes(texts, lower=True)
+    n = len(texts)
+    at = bounds + np.arange(n + 1)
+    flat = np.full(at[-1], np.uint64(END_CODE))
+    place = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(bounds))
+    flat[place] = words
+    leaf = np.full(len(flat), END)
+    leaf[place] = vocabulary.leaves(words)
+    last, before = np.empty_like(flat), np.empty_like(flat)
+    last[1:], before[2:] = flat[:-1], flat[:-2]
+    first = at[:-1]
+    last[first] = before[first] = np.uint64(BEFORE)
+    before[first[np.diff(bounds) > 0] + 1] = np.uint64(BEFORE)
+    return [last, last * np.uint64(31) + before * np.uint64(0xD1342543DE82EF95), before ^ np.uint64(0xA5A5A5A5)], leaf, flat, at
 
 
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,41 +146,61 @@ def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """The way to each leaf: from ends[leaf - 1] to ends[leaf], its choices' hashes, biases and directions (1 or -1)."""
+    """The ways to the leaves, cut into groups of up to DEEP choices below one another.
+
+    A way is a chain of exits: a leaf is the exit of its last group, the group's first node the exit of the one above.
+    An exit has the line of its group (a feature's weights for all choices of a group lie together), and for each choice
+    the place in the line, the direction (1 or -1, 0 where there is no such choice) and the bias in that direction.
+    """
 
     def __init__(self, parent: np.ndarray, total: np.ndarray, bits: int):
-        n = (len(parent) + 1) // 2
-        children = np.argsort(parent[:-1], kind="stable")
-        right = np.zeros(len(parent), bool)
-        right[children[1::2]] = True
+        n, root = (len(parent) + 1) // 2, len(parent) - 1
+        children = np.argsort(parent[:-1], kind="stable")  # two of each inner node
+        way = np.full(len(parent), -1, np.float32)
+        way[children[1::2]] = 1
         odds = np.zeros(len(parent), np.float32)
         odds[parent[children[1::2]]] = np.log(total[children[1::2]] / total[children[::2]])
-        at, leaf, steps = np.arange(n), np.arange(n), []
-        while len(at):
-            inside = at != len(parent) - 1
-            at, leaf = at[inside], leaf[inside]
-            steps.append((leaf, parent[at], right[at]))
-            at = parent[at]
-        leaf, node, right = (np.concatenate(x) for x in zip(*steps, strict=True))
-        order = np.argsort(leaf, kind="stable")
-        node, self.way = node[order].astype(np.uint64), np.where(right[order], 1, -1).astype(np.float32)
-        self.node, self.bias = _bucket(node, 29, bits), odds[node.astype(np.int64)] * self.way
-        self.length = np.bincount(leaf, minlength=n)
-        self.begin = np.cumsum(self.length) - self.length
+        level, place, at = np.zeros(len(parent), np.int64), np.ones(len(parent), np.int64), np.array([root])
+        self.groups = np.zeros(len(parent), np.int16)
+        while len(at := at[at >= n]):
+            below = np.concatenate([children[2 * (at - n)], children[2 * (at - n) + 1]])
+            above = parent[below]
+            level[below] = (level[above] + 1) % DEEP
+            place[below] = np.where(level[below] == 0, 1, 2 * place[above] + (way[below] > 0))
+            self.groups[below] = self.groups[above] + (level[above] == 0)
+            at = below
+        self.place, self.way, self.bias = np.zeros((len(parent), DEEP), np.int32), np.zeros((len(parent), DEEP), np.float32), np.full((len(parent), DEEP), 30, np.float32)
+        self.up, self.line = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
+        exits = np.flatnonzero((np.arange(len(parent)) < n) | (level == 0))
+        exits = at = exits[exits != root]
+        while len(exits):
+            above = parent[at]
+            self.place[exits, level[above]], self.way[exits, level[above]], self.bias[exits, level[above]] = place[above], way[at], odds[above] * way[at]
+            done = level[above] == 0
+            self.up[exits[done]], self.line[exits[done]] = above[done], _line(above[done].astype(np.uint64), 29, bits)
+            exits, at = exits[~done], above[~done]
+
+
+def _aligned(table: np.ndarray) -> np.ndarray:
+    """A copy whose lines each fill one line of the processor's cache."""
+    raw = np.empty(table.nbytes + 64, np.uint8)
+    out = raw[-raw.ctypes.data % 64 :][: table.nbytes].view(np.float32).reshape(table.shape)
+    out[:] = table
+    return out
 
 
 class Model:
     def __init__(self, parent: np.ndarray, total: np.ndarray, table: np.ndarray):
-        self.parent, self.total, self.table = parent, total, table
+        self.parent, self.total, self.table = parent, total, _aligned(table)
         self.bits, self._tree = _power(len(table)), None
 
     @classmethod
     def start(cls, weights: np.ndarray, bits: int) -> "Model":
         """No features yet: the leaves' own frequencies."""
-        return cls(*huffman(weights), np.zeros(1 << bits, np.float32))
+        return cls(*huffman(weights), np.zeros((1 << bits, LINE), np.float32))
 
-    def __getstate__(self):
-        return self.__dict__ | {"_tree": None}
+    def __reduce__(self):
+        return Model, (self.parent, self.total, self.table)
 
     @property
     def tree(self) -> Tree:
@@ -182,117 +208,146 @@ class Model:
             self._tree = Tree(self.parent, self.total, self.bits)
         return self._tree
 
-    def _choices(self, codes, leaf):
-        """Each token's choices laid end to end: their number by token, buckets of the features, direction, and log-odds of going right in that direction."""
+    def _groups(self, codes, leaf):
+        """The order of tokens in which longest ways come first; then for each group from the leaves up: the first tokens
+        that have one, their lines of the features, and places, directions and log-odds of their choices."""
         tree = self.tree
-        n = tree.length[leaf]
-        first = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) + np.repeat(tree.begin[leaf] - first, n)
-        node, way = tree.node[at], tree.way[at]
-        buckets = [np.repeat(_bucket(c, 1 + i, self.bits), n) ^ node for i, c in enumerate(codes)]
-        z = self.table[buckets[0]]
-        z += self.table[buckets[1]]
-        z += self.table[buckets[2]]
-        z *= way
-        z += tree.bias[at]
-        return n, first, buckets, way, z
+        order = np.argsort(-tree.groups[leaf], kind="stable")
+        at, lines = leaf[order], [_line(c[order], 1 + i, self.bits) for i, c in enumerate(codes)]
+        left, starts = -tree.groups[at], (np.arange(len(at)) * LINE)[:, None]
+        yield order
+        for group in range(-int(left[0]) if len(left) else 0):
+            n = int(np.searchsorted(left, -group, "left"))
+            at = at[:n]
+            own = _rows(tree.line, at)
+            rows = [x[:n] ^ own for x in lines]
+            weights = _rows(self.table, rows[0])
+            for r in rows[1:]:
+                weights += _rows(self.table, r)
+            place, way = _rows(tree.place, at), _rows(tree.way, at)
+            z = weights.reshape(-1)[place + starts[:n]]
+            z *= way
+            z += _rows(tree.bias, at)
+            np.clip(z, -20, 20, out=z)
+            yield n, rows, place, way, z
+            at = _rows(tree.up, at)
 
     def log_prob(self, codes, leaf) -> np.ndarray:
         """Natural log of each token's leaf."""
         out = np.zeros(len(leaf))
         for at in range(0, len(leaf) if len(self.parent) > 1 else 0, CHUNK):
             cut = slice(at, at + CHUNK)
-            _, first, _, _, z = self._choices([c[cut] for c in codes], leaf[cut])
-            np.clip(z, -60, 60, out=z)
-            out[cut] = -np.add.reduceat(np.log1p(np.exp(-z)), first, dtype=np.float64)
+            groups = self._groups([c[cut] for c in codes], leaf[cut])
+            order = next(groups)
+            total = np.zeros(len(order))
+            for n, _, _, _, z in groups:
+                odds = 1 + np.exp(-z)  # of four choices the product stays below the largest float
+                total[:n] += np.log(odds[:, 0] * odds[:, 1] * odds[:, 2] * odds[:, 3])
+            out[at + order] = -total
         return out
 
     def learn(self, codes, leaf, rate: float, seen: np.ndarray) -> None:
-        """Steps along the mean gradient of each bucket, shorter for buckets seen little in this chunk or much before it."""
-        for at in range(0, len(leaf), LEARN_CHUNK):
-            cut = slice(at, at + LEARN_CHUNK)
-            _, _, buckets, way, z = self._choices([c[cut] for c in codes], leaf[cut])
-            np.clip(z, -60, 60, out=z)
-            up = way / (1 + np.exp(z))
-            flat = np.concatenate(buckets)
-            n = np.bincount(flat, minlength=len(self.table)).astype(np.float32)
-            self.table += 4 * rate * np.bincount(flat, np.tile(up, 3), len(self.table)).astype(np.float32) / (n + seen + CALM)
-            seen += n
-
-
-def _grouped(texts: Iterator, words: Words) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows and their numbered words, a few hundred thousand tokens at a time."""
-    rows, parts, held = [], [], 0
-    for row, text in texts:
-        own = tokens(text)
-        if parts and held + len(own) > BATCH_TOKENS:
-            yield rows, parts
-            rows, parts, held = [], [], 0
-            if len(words.known) > 400_000:
-                words.clear()
-        part = words.numbered(own)
-        rows.append((row, own))
-        parts.append(part)
-        held += len(part)
-    if parts:
-        yield rows, parts
+        """Steps along the gradient, shorter for lines seen often (deeper choices of a group are taken to be seen half as
+        often as those above them). The tokens of a chunk meet the same weights of a group."""
+        flat = self.table.reshape(-1)
+        for at in range(0, len(leaf) if len(self.parent) > 1 else 0, CHUNK):
+            cut = slice(at, at + CHUNK)
+            groups = self._groups([c[cut] for c in codes], leaf[cut])
+            next(groups)
+            for _, rows, place, way, z in groups:
+                up = 4 * rate * way / (1 + np.exp(z))
+                for r in rows:
+                    np.add.at(seen, r, np.float32(1))
+                for r in rows:
+                    step = up / (_rows(seen, r)[:, None] * HALVES + CALM)
+                    np.add.at(flat, (place + (r * LINE)[:, None]).reshape(-1), step.reshape(-1))
 
 
 def _round(held, rate: float):
     """A mapInArrow function: one task's changes of the table, weighted by how often each bucket was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, tail, start = held.value
-        model = Model(start.parent, start.total, start.table.copy())
-        words, seen = Words(vocabulary, tail), np.zeros(len(start.table), np.float32)
-        for _, parts in _grouped(((None, t) for batch in batches for t in batch.column(0).to_pylist()), words):
-            model.learn(*contexts(parts, words), rate, seen)
-        change = (model.table - start.table) * seen
-        for at in range(0, len(change), BLOCK):
-            if seen[at : at + BLOCK].any():
-                values = np.stack([change[at : at + BLOCK], seen[at : at + BLOCK]]).astype("<f4")
+        vocabulary, start = held.value
+        model = Model(start.parent, start.total, start.table)
+        seen = np.zeros(len(start.table), np.float32)
+        for batch in sliced(batches, 0):
+            codes, leaf, _, _ = token_codes(batch.column(0), vocabulary)
+            model.learn(codes, leaf, rate, seen)
+        for at in range(0, len(seen), BLOCK):
+            own = seen[at : at + BLOCK]
+            if own.any():
+                change = (model.table[at : at + BLOCK] - start.table[at : at + BLOCK]) * own[:, None]
+                values = np.concatenate([change.reshape(-1), own]).astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["at", "change"])
 
     return run
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    change, seen = sum(np.frombuffer(c, "<f4").astype(np.float64) for c in pdf["change"]).reshape(2, -1)
-    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "change": [(change / np.maximum(seen, 1)).astype("<f4").tobytes()]})
+    total = sum(np.frombuffer(c, "<f4").astype(np.float64) for c in pdf["change"])
+    n = len(total) // (LINE + 1)
+    change = total[: n * LINE].reshape(n, LINE) / np.maximum(total[n * LINE :], 1)[:, None]
+    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "change": [change.astype("<f4").tobytes()]})
 
 
-def train(texts: DataFrame, vocabulary: dict[bytes, int], tail: int, model: Model, *, tasks: int, rounds: int = 3, rate: float = 0.6) -> Model:
+def train(texts: DataFrame, vocabulary: Vocabulary, model: Model, *, tasks: int, rounds: int = 3, rate: float = 0.6) -> Model:
     """texts: (text, part) of training documents; part, from 0 to rounds - 1, says in which round a text is used."""
     for at in range(rounds):
-        held = texts.sparkSession.sparkContext.broadcast((vocabulary, tail, model))
+        held = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
         changes = texts.where(F.col("part") == at).select("text").coalesce(tasks).mapInArrow(_round(held, rate), "at int, change binary")
         table = model.table.copy()
         for r in changes.groupBy("at").applyInPandas(_summed, "at int, change binary").toLocalIterator():
-            values = np.frombuffer(bytes(r["change"]), "<f4")
+            values = np.frombuffer(bytes(r["change"]), "<f4").reshape(-1, LINE)
             table[r["at"] : r["at"] + len(values)] += values
         model = Model(model.parent, model.total, table)
+        held.destroy()
     return model
 
 
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, counts), most frequent first: as many of the classes of most frequent words as hold no more than `most`.
+
+    A histogram of the counts finds the class to stop at, so no task and no partition sends more than is kept.
+    """
+    rank = F.floor(F.log2(F.col("n").cast("double")) * OCTAVE).cast("int")
+    sizes = sorted(((r["rank"], r["kinds"]) for r in counts.groupBy(rank.alias("rank")).agg(F.count("*").alias("kinds")).collect()), reverse=True)
+    least, held = None, 0
+    for at, kinds in sizes:
+        held += kinds
+        if held > most:
+            break
+        least = at
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = counts.where(rank >= least).select("word", "n").toArrow()
+    words, n = rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.lexsort((words, -n))
+    return words[order], n[order]
+
+
 def _score(held):
     """A mapInArrow function: a row for each text, with what the leaves give and the words of hashed leaves listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, tail, model, count, share_total, base_total = held.value
-        words, hot = Words(vocabulary, tail), len(vocabulary)
-        rows = (((doc, out), text) for batch in batches for doc, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for own, parts in _grouped(rows, words):
-            codes, leaf = contexts(parts, words)
-            given = model.log_prob(codes, leaf) / np.log(10)
-            at = np.cumsum([0, *map(len, parts)])
+        vocabulary, model, count, share_total, base_total = held.value
+        hot = len(vocabulary.words)
+        base_of, share_of = np.log10(count + 0.5) - np.log10(base_total), np.log10(share_total)
+        for batch in sliced(batches, 2):
+            codes, leaf, flat, at = token_codes(batch.column(2), vocabulary)
             known = leaf <= hot
-            base = np.where(known, np.log10(count[np.minimum(leaf, hot)] + 0.5) - np.log10(base_total), 0.0)
-            given -= np.where(known, 0.0, np.log10(share_total[np.maximum(leaf - 1 - hot, 0)]))
+            given = model.log_prob(codes, leaf) / np.log(10)
+            given[~known] -= share_of[leaf[~known] - 1 - hot]
+            base = np.zeros(len(leaf))
+            base[known] = base_of[leaf[known]]
             total = lambda x: np.add.reduceat(x, at[:-1])
-            rare = [Counter(w for w, k in zip(ws, known[a : b - 1].tolist(), strict=True) if not k) for (_, ws), a, b in zip(own, at[:-1], at[1:], strict=True)]
-            columns = [[d for (d, _), _ in own], [o for (_, o), _ in own], np.diff(at), total(known.astype(np.int64)) - (0 if count[END] else 1), total(base), total(given), [list(r.keys()) for r in rare], [list(r.values()) for r in rare]]
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "known", "base", "given", "rare", "times"])
+            rare = flat[~known]
+            ends = np.cumsum(~known)[at[1:] - 1]
+            lists = [np.unique(rare[a:b], return_counts=True) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
+            sizes = pa.array(np.cumsum([0, *(len(w) for w, _ in lists)]), pa.int32())
+            both = [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(x).view(np.int64))) for x in zip(*lists, strict=True)]
+            columns = [batch.column(0), batch.column(1), np.diff(at), total(known.astype(np.int64)) - (0 if count[END] else 1), total(base), total(given)]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *both], ["doc_id", "held_out", "n_tokens", "known", "base", "given", "rare", "times"])
 
     return run
 
@@ -310,25 +365,26 @@ def lm_scores(docs: DataFrame, *, folds: int = 5, rounds: int = 3, rate: float =
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 1, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text")
     training = docs.where("doc_id is not null and not held_out")
-    counts = written(training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    counts = written(training.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     ends = training.count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, v_all = total + ends, kinds + (ends > 0)
     hot, tail, bits = sizes_for(kinds)
-    frequent = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(hot).collect()]
-    vocabulary = {w: 1 + i for i, (w, _) in enumerate(frequent)}
-    count = np.array([ends, *(n for _, n in frequent)], np.float64)
+    words, n_words = frequent_words(counts, hot)
+    vocabulary = Vocabulary(words, tail)
+    count = np.concatenate([[ends], n_words]).astype(np.float64)
     shared = np.full(tail, 0.5)  # of a hashed leaf: its words' counts and a half each, and a half for an unknown word
-    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(tail)).alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+    leaf = F.pmod(F.shiftrightunsigned("word", 16), F.lit(tail)).cast("int")
+    for r in counts.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toLocalIterator():
         shared[r["leaf"]] += r["n"] + 0.5 * r["kinds"]
-    np.subtract.at(shared, [zlib.crc32(w) % tail for w, _ in frequent], count[1:] + 0.5)
+    np.subtract.at(shared, ((words >> np.uint64(16)) % np.uint64(tail)).astype(np.int64), count[1:] + 0.5)
     parts = training.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).cast("int").alias("part"))
     model = Model.start(np.concatenate([count + 0.5, shared]), bits)
     if ends:
-        model = train(parts, vocabulary, tail, model, tasks=tasks_for(n_all), rounds=rounds, rate=rate)
+        model = train(parts, vocabulary, model, tasks=tasks_for(n_all), rounds=rounds, rate=rate)
     base_total = n_all + 0.5 * (v_all + 1)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, tail, model, count, shared, base_total))
-    scanned = docs.mapInArrow(_score(held), "doc_id long, held_out boolean, n_tokens long, known long, base double, given double, rare array<binary>, times array<long>")
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, model, count, shared, base_total))
+    scanned = docs.mapInArrow(_score(held), "doc_id long, held_out boolean, n_tokens long, known long, base double, given double, rare array<long>, times array<long>")
     rows = written(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("met"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("logs"))
