@@ -14,24 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.store import written
-
-FILTER_BITS = 1 << 23
-_B = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = h
-        return h
+from weftline.llm.store import maybe_in, written
+from weftline.llm.words import mixed, run_hashes, sliced, word_hashes
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,33 +27,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def word_codes(words: list[bytes], known: _WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def run_hashes(codes: np.ndarray, n: int, base: int = _B) -> np.ndarray:
-    """A hash of each run of n codes, put together from runs of powers of two."""
-    out, have, power, size = None, 0, codes, 1
-    while True:
-        if n & size:
-            if out is None:
-                out, have = power, size
-            else:
-                m = len(codes) - have - size + 1
-                out = out[:m] * np.uint64(pow(base, size, 1 << 64)) + power[have : have + m]
-                have += size
-        if size * 2 > n:
-            return _mixed(out)
-        m = len(power) - size
-        power, size = power[:m] * np.uint64(pow(base, size, 1 << 64)) + power[size : size + m], size * 2
-
-
 def minima(values: np.ndarray, n: int) -> np.ndarray:
     """The least of each n neighbouring values."""
     size = 1
@@ -79,22 +40,24 @@ def minimizers(codes: np.ndarray, k: int) -> np.ndarray:
     return minima(run_hashes(codes, k // 2), k - k // 2 + 1)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).view(np.int64)))
+
+
 def _scan(k: int):
     """A mapInArrow function: number of words, digest of the words and distinct minimizers of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                count, digest, least = [], [], []
-                for text in part.column(2).to_pylist():
-                    words = words_of(text)
-                    count.append(len(words))
-                    digest.append(hashlib.md5(b" ".join(words)).digest())
-                    least.append(np.unique(minimizers(word_codes(words, known), k)).view(np.int64) if len(words) >= k else np.empty(0, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, least)]), pa.int32()), pa.array(np.concatenate(least), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "tag", "n_words", "digest", "least"])
+        for batch in sliced(batches, 2):
+            codes, bounds = word_hashes(batch.column(2))
+            least = minimizers(codes, k) if len(codes) >= k else codes[:0]
+            count, digest, own = np.diff(bounds), [], []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                digest.append(hashlib.md5(codes[a:b].tobytes()).digest())
+                part = least[a : max(a, b - k + 1)]
+                own.append(np.unique(part[np.append(True, part[1:] != part[:-1])]) if len(part) else part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(digest, pa.binary()), _lists(own)], ["doc_id", "tag", "n_words", "digest", "least"])
 
     return run
 
@@ -103,16 +66,19 @@ def _edges(k: int):
     """A mapInArrow function: the k-mers whose minimizer is shared, with check hashes of themselves and neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         names = ["edge", "more", "doc_id", "tag", "at", "next", "prev"]
-        for batch in batches:
-            for doc, tag, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = word_codes(words_of(text), known)
-                at = np.flatnonzero(np.isin(minimizers(codes, k), np.array(shared, np.int64).view(np.uint64)))
+        for batch in sliced(batches, 2):
+            words, bounds = word_hashes(batch.column(2))
+            lists = batch.column(3)
+            for row, (doc, tag) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                codes = words[bounds[row] : bounds[row + 1]]
+                if len(codes) < k:
+                    continue
+                at = np.flatnonzero(np.isin(minimizers(codes, k), lists[row].values.to_numpy().view(np.uint64)))
                 if not len(at):
                     continue
                 edge = run_hashes(codes, k)
-                more = (run_hashes(_mixed(codes ^ np.uint64(0x5851F42D4C957F2D)), k, 0xD1342543DE82EF95) >> np.uint64(33)).astype(np.int32)
+                more = (run_hashes(mixed(codes ^ np.uint64(0x5851F42D4C957F2D)), k, 0xD1342543DE82EF95) >> np.uint64(33)).astype(np.int32)
                 side = np.zeros(len(edge) + 2, np.int32)  # 0 where no edge follows or comes before
                 side[at + 1] = (edge[at] >> np.uint64(34)).astype(np.int32) + 1
                 columns = [edge[at].view(np.int64), more[at], np.full(len(at), doc), np.full(len(at), tag, np.int32), at.astype(np.int32), side[at + 2], side[at]]
@@ -126,7 +92,7 @@ def _digests(k: int):
     """A mapInArrow function: a digest of the words of each path's occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out = []
             for doc, tag, text, paths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
@@ -139,7 +105,7 @@ def _digests(k: int):
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         count, gone, kept = [], [], []
         for text, spans, whole in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             words = words_of(text)
@@ -153,31 +119,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
 
-def _maybe_in(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs that may have a (doc_id, tag) of keys, and docs that surely have none, by a bitmap of fixed size (1 MB).
-
-    It spares the shuffle of texts that a join would drop; it never decides a result.
-    """
-    bit = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(FILTER_BITS))
-    found = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    size = FILTER_BITS // 8
-    bits = bytearray(size + 4096)
-    for r in found:  # bucket b holds positions (b - 1) * 32768 + 1 up to b * 32768, and bucket 0 position 0
-        at = 4096 * r["bucket"]
-        bits[at : at + 4096] = bytes(r["bits"])
-    held = docs.sparkSession.sparkContext.broadcast(bytes(bits))
-
-    @F.pandas_udf("boolean")
-    def has(bucket, position):
-        import pandas as pd
-
-        p = position.to_numpy()
-        return pd.Series((np.frombuffer(held.value, np.uint8)[4096 * bucket.to_numpy() + p // 8] >> (p % 8)) & 1 == 1)
-
-    marked = docs.withColumn("_has", has(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)))
-    return marked.where("_has").drop("_has"), marked.where("not _has").drop("_has")
-
-
 def _once(docs: DataFrame) -> DataFrame:
     """Each different row once, dealt as the joins by (doc_id, tag) need it: a repeated row would double its places."""
     return docs.repartition("doc_id", "tag").dropDuplicates(["doc_id", "tag", "text"])
@@ -197,7 +138,7 @@ def repeated_spans(docs: DataFrame, *, k: int = 50) -> tuple[DataFrame, DataFram
     least = part.select("doc_id", "tag", F.explode("least").alias("m"))
     shared = least.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("m")
     lists = written(least.join(shared, "m", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list("m").alias("shared")), "substring-shared")
-    likely, _ = _maybe_in(docs, lists)
+    likely, _ = maybe_in(docs, lists, ["doc_id", "tag"])
     edges = written(_once(likely).join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "shared").mapInArrow(_edges(k), "edge long, more int, doc_id long, tag int, at int, next int, prev int"), "substring-edges")
 
     degrees = edges.groupBy("edge", "more").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), ((F.min("next") == F.max("next")) & (F.min("next") != 0)).alias("one_next"), ((F.min("prev") == F.max("prev")) & (F.min("prev") != 0)).alias("one_prev")).where("lo <> hi")
@@ -207,7 +148,7 @@ def repeated_spans(docs: DataFrame, *, k: int = 50) -> tuple[DataFrame, DataFram
     paths = known.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("path", F.sum("starts").over(order))
     paths = paths.groupBy("doc_id", "tag", "path").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     paths = written(paths.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("paths")), "substring-paths")
-    likely, _ = _maybe_in(docs, paths)
+    likely, _ = maybe_in(docs, paths, ["doc_id", "tag"])
     places = written(_once(likely).join(paths, ["doc_id", "tag"]).select("doc_id", "tag", "text", "paths").mapInArrow(_digests(k), "doc_id long, tag int, start int, end int, digest binary"), "substring-places")
     source = places.groupBy("digest").agg(F.min("doc_id").alias("source"))
     gone = places.join(source, "digest").where(F.col("doc_id") > F.col("source"))
@@ -225,7 +166,7 @@ def drop_repeats(docs: DataFrame, *, k: int = 50) -> DataFrame:
     spans, copies = repeated_spans(docs, k=k)
     cut = written(spans.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", "tag", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(True).alias("whole"))), "substring-cut")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), "text")
-    likely, clean = _maybe_in(docs, cut)
+    likely, clean = maybe_in(docs, cut, ["doc_id", "tag"])
     both = likely.join(cut, ["doc_id", "tag"], "left").select("doc_id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
     rest = clean.select("doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(False).alias("whole"))
     return both.unionByName(rest).mapInArrow(_kept, "doc_id long, text string, n_words long, n_removed long")
