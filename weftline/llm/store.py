@@ -47,6 +47,23 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """Write df as Parquet in the shared folder, in buckets sorted by key, and read it back: joins on key with tables of
+    as many buckets move no row. df is best dealt by key into as many partitions, which makes one file a bucket."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that `written` made and that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
