@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 CHUNK = 32_768
 OVERLAP = 512
 LOOKAHEAD = 3
-CACHED = 300_000
+CACHED = 50_000
 _codecs: dict[int, "Codec"] = {}
 
 
