@@ -54,7 +54,7 @@ def test_topk(spark):
 
 
 def test_lines(spark, texts):
-    got = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(table(spark, texts).withColumn("key", F.lit(1))).collect()}
+    got = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(table(spark, texts).withColumns({c: F.lit(1) for c in ("key", "doc", "digest", "dropped", "lines", "_lines")})).collect()}
     key = lambda s: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", s).translate({c: c + 32 for c in range(65, 91)})
     held = {}
     for i, t in texts:
@@ -70,6 +70,29 @@ def test_lines(spark, texts):
     assert linededup.dedup_lines(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (5, 2), (7, 3)])
+def test_line_runs_find_the_keeper_by_the_anti_join(spark, batches, fanout):
+    chance = random.Random(batches)
+    rows = [(i, "\n".join(f"a line that some texts have {chance.randrange(40)}" for _ in range(4))) for i in chance.sample(range(1000), 80)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table(spark, rows), batches=batches, fanout=fanout).collect()}
+    holders = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            holders.setdefault(line, set()).add(i)
+    assert got == {i: "\n".join(x for x in t.split("\n") if len(holders[x]) < 3 or max(holders[x]) == i) for i, t in rows}
+
+
+def test_line_runs_are_joined_where_they_lie(spark):
+    keys = lambda *x: spark.createDataFrame([(k.encode(), 1, i) for k, i in x], "key binary, n_docs long, keeper long").groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+    runs = linededup.LineRuns(spark, fanout=3)
+    runs.add(keys(("a", 9), ("b", 8)))
+    runs.add(keys(("a", 5), ("c", 4)))
+    plan = runs.totals()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert [(r["key"], r["n_docs"], r["keeper"]) for r in runs.runs()[1].orderBy("key").collect()] == [(b"a", 1, None), (b"c", 1, 4)]
+    assert sorted((bytes(r["key"]), r["n_docs"], r["keeper"]) for r in runs.totals().collect()) == [(b"a", 2, 9), (b"b", 1, 8), (b"c", 1, 4)]
+
+
 def test_quality(spark):
     rows = [(i, ("good calm text " if i % 2 else "BAD!! JUNK$$ ") * (i % 9 + 1)) for i in range(200)] + [(None, None), (500, "")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (5, None), (500, 7)], "doc_id long, quality int")
@@ -142,11 +165,11 @@ def test_shards(spark, texts):
 def test_contained_items(spark, texts):
     item = " ".join(f"w{i}" for i in range(30))
     near = item.replace("w3 ", "other ")
-    docs = table(spark, texts + [(400, f"before, {item.upper()}! after " + "z " * 3000), (401, near), (402, item[:40]), (None, item)])
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (1, item), (None, item)], "item_id long, text string")
+    docs = table(spark, texts + [(400, f"before, {item.upper()}! after " + "z " * 3000), (401, near), (402, item[:40]), (None, item), (403, "It is too; SHORT."), (404, "too short"), (405, "too, so short")]).withColumn("doc", F.lit(1)).withColumn("digest", F.lit(2))
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (1, item), (None, item), (4, " . ")], "item_id long, text string")
     got = sorted((r["doc_id"] or -1, r["item_id"], r["n_shared"]) for r in decontaminate.contained_items(docs, bench).collect())
-    assert got == [(-1, 1, 26), (400, 1, 26), (401, 1, 22)]
-    assert decontaminate.without_benchmark(docs, bench).count() == docs.count() - 3
+    assert got == [(-1, 1, 26), (400, 1, 26), (401, 1, 22), (403, 3, 1), (404, 3, 1)]
+    assert decontaminate.without_benchmark(docs, bench).count() == docs.count() - 5
     assert decontaminate.without_benchmark(docs, bench.limit(0)).count() == docs.count()
 
 
