@@ -126,13 +126,13 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
     """docs with score (double, 0 to 1); a column named score is replaced."""
     held = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float64) if isinstance(v, np.ndarray) else v for k, v in model.items()})
 
-    @F.pandas_udf("double")
-    def score(texts):
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         m = held.value
         if m["constant"] is not None:
-            return texts.map(lambda _: m["constant"], na_action=None).astype("float64")
-        z = texts.map(lambda t: _margin(m, features(t)), na_action=None).astype("float64")
-        return 1 / (1 + np.exp(-np.clip(m["a"] * z + m["b"], -500, 500)))
+            return pa.array(np.full(len(texts), m["constant"]))
+        z = np.fromiter((_margin(m, features(t.as_py())) for t in texts), np.float64, len(texts))  # a text at a time
+        return pa.array(1 / (1 + np.exp(-np.clip(m["a"] * z + m["b"], -500, 500))))
 
     return docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
 
