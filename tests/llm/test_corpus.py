@@ -104,6 +104,50 @@ def test_quality(spark):
     assert quality.quality_scores(table(spark, []), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Counts of n-grams, their log-ratios, and the dual problem solved by plain loops; then the scores of all texts."""
+    chance = random.Random(3)
+    rows = [(i, "".join(chance.choices("abc XY9!" if i % 3 else "abcde fg", k=chance.randint(0, 60)))) for i in range(90)] + [(900, "long " * 60_000)]
+    labelled = [(i, int(i % 3 == 0)) for i in range(90)]
+    train = [(t, y) for (i, t), (_, y) in zip(rows, labelled) if zlib.crc32(str(i).encode()) % 3 != 1]
+    shape = lambda b: 97 if 97 <= b <= 122 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 128 if b > 127 else b
+
+    def grams(t):
+        raw, out = b" " + t.encode() + b" ", set()
+        for kind, (data, sizes) in enumerate(((raw, (1, 2, 3)), (bytes(map(shape, raw)), (2, 3, 4, 6)))):
+            for n in sizes:
+                for x in range(len(data) - n + 1):
+                    code = n + 16 * kind
+                    for b in data[x : x + n]:
+                        code = code * 257 + b
+                    out.add((code * 0x9E3779B97F4A7C15) % 2**64 >> 48)
+        return sorted(out)
+
+    assert all(quality.features(t).tolist() == grams(t) for _, t in rows[:5])
+    counts = np.ones((2, quality.DIM))
+    for t, y in train:
+        counts[y, grams(t)] += 1
+    scale = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    model = quality.fit(spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(train)], "row_key long, text string, label int"), epochs=400)
+    assert np.allclose(model["scale"], scale)
+    x = np.zeros((len(train), quality.DIM + 1))
+    for at, (t, _) in enumerate(train):
+        x[at, grams(t)] = scale[grams(t)] / np.linalg.norm(scale[grams(t)])
+    x[:, -1] = 1
+    y = np.array([1.0 if y else -1.0 for _, y in train])
+    gram, alpha = (x @ x.T) * np.outer(y, y), np.zeros(len(y))
+    for _ in range(4000):
+        for i in range(len(y)):
+            alpha[i] = min(max(alpha[i] - (gram[i] @ alpha - 1) / gram[i, i], 0), 1)
+    w = x.T @ (alpha * y)
+    assert np.allclose(np.append(model["w"], model["bias"]), w, atol=5e-3)
+    got = {r["doc_id"]: r["score"] for r in quality.score_texts(table(spark, rows), model).collect()}
+    for i, t in rows:
+        margin = sum(w[g] * scale[g] for g in grams(t[:2000])) / math.sqrt(sum(scale[g] ** 2 for g in grams(t[:2000]))) + w[-1]
+        if i < 900:
+            assert math.isclose(got[i], 1 / (1 + math.exp(-(model["a"] * margin + model["b"]))), abs_tol=0.02)
+
+
 def test_bpe(spark, texts):
     import public_tokenizers as P
 

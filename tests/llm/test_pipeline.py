@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
+from weftline.llm import store
 
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
@@ -79,3 +81,22 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_nulls_empty_repeated_and_long_texts(spark, tmp_path):
+    rows, items = corpus()
+    rows += [(600, None), (601, ""), (None, "a text without number"), (602, "calm words " * 20_000), (0, rows[0][1])]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, doc int, lines int"
+    spark.createDataFrame([(i, t, None, None, None, 1.0, 2, 3) for i, t in rows], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(not re.search("[$%#]", t))) for i, t in rows if i is not None and i < 200]
+    spark.createDataFrame([*labels, (None, 1), (601, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*items, (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    before = set(os.listdir(store.shared_dir(spark)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {x.split("-")[1] for x in set(os.listdir(store.shared_dir(spark))) - before}
+    assert left == {"stage"}
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] in (0, 500, 301, 400)) == [0, 0]
+    assert all(r["n_tokens"] == 0 for r in got if r["doc_id"] in (600, 601))
