@@ -59,3 +59,52 @@ def test_nodes_are_nested_intervals():
 
 def test_skeleton():
     assert "li count=3" in html.skeleton("<ul><li>a<li>b<li>c</ul>")
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "section"])
+def test_deep_pages_crash_nothing(tag):
+    page = f"<{tag}>" * 5000 + "deep"
+    got = html.extract(page, None)
+    assert got["clean_text"] == "deep" and got["markdown"] == "deep" or tag == "p"
+    assert html.extract(page, None, dialect="gfm")["markdown"].endswith("deep")
+    assert html.skeleton(page).count("\n") > 2 or tag == "p"
+    assert html.extract('<script type="application/ld+json">' + "[" * 100_000 + "</script>x", None)["json_ld"] == []
+
+
+def test_many_siblings_take_linear_time():
+    page = "<div>" + "<p>a<nav>n</nav>" * 20_000 + "</div>"
+    assert html.extract(page, None)["clean_text"] == "a" * 20_000
+
+
+def test_skeleton_fits_its_budget():
+    page = "<main>" + "".join(f"<div class=c{i}><p><b>x</b></p></div>" for i in range(400)) + "</main>"
+    assert "b\n" in html.skeleton(page) and len(html.skeleton(page, 1500)) <= 6000 and "main" in html.skeleton(page, 1500)
+
+
+def test_query_all_and_regex(spark):
+    root = html.parse('<p class="a b">one<p id=x>two<div class=b>three</div>')
+    assert html.query_all(root, "p") == ["one", "two"] and html.query_all(root, class_name="b") == ["one", "three"]
+    assert html.query_all(root, "P", own_id="x") == ["two"] and len(html.query_all(root, "section")) == 0
+    with pytest.raises(ValueError):
+        html.query_with_regex(html.F.lit(""), "(a)", 2)
+
+
+def test_items():
+    page = """<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name"> Lamp </h1><a itemprop=url href="/l">x</a>
+    <span itemprop="offers" itemscope itemtype="https://schema.org/Offer"><meta itemprop="price" content="12"></span></div>
+    <div vocab="https://schema.org/" typeof="Person"><span property="name">Ann</span></div>"""
+    got = html.linked_items(html.parse(page), "https://e.com/a/")
+    assert [(i["syntax"], i["type"]) for i in got] == [("microdata", "https://schema.org/Product"), ("microdata", "https://schema.org/Offer"), ("rdfa", "https://schema.org/Person")]
+    assert [(p["name"], p["value"], p["child"]) for p in got[0]["properties"]] == [("name", "Lamp", -1), ("url", "https://e.com/l", -1), ("offers", None, 1)]
+    assert [(p["name"], p["value"]) for p in got[1]["properties"]] == [("price", "12")] and got[2]["properties"][0]["value"] == "Ann"
+
+
+def test_article():
+    page = """<title>T</title><meta name=author content=Ann><meta property="article:published_time" content="2024-01-02"><meta name="twitter:card" content="summary">
+    <div class="sidebar"><p>Some text of a sidebar, with commas, and more, and more than that.</p></div>
+    <div class="post"><p>The main content of the page, which is long enough to count.</p><p>And more of it, as it goes on, and on.</p><img src="i.png"></div>"""
+    got = html.article(page, "https://e.com/a/b")
+    assert got["body"].startswith("The main content") and "sidebar" not in got["body"]
+    assert (got["title"], got["byline"], got["published"], got["twitter_card"], got["images"]) == ("T", "Ann", "2024-01-02", "summary", ["https://e.com/a/i.png"])
+    assert got["n_words"] == 22 and got["reading_seconds"] == 7
+    assert html.article(None, None)["body"] == ""

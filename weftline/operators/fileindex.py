@@ -162,6 +162,10 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, max_dept
 
 
 def crawl_stats(fetched: DataFrame, files: DataFrame) -> DataFrame:
-    """One row of counters: directories seen, failed, and files indexed."""
+    """One row of counters: directories fetched, errors, links of files met, files indexed, and links met again.
+
+    fetched: (url, html), a row a directory; files: (file_url), a row a link met.
+    """
     seen = fetched.agg(F.count("*").alias("directories"), F.count_if(F.col("html").isNull()).alias("errors"))
-    return seen.join(files.agg(F.count_distinct("file_url").alias("files")))
+    found = files.agg(F.count("*").alias("files_seen"), F.count_distinct("file_url").alias("files"))
+    return seen.join(found).withColumn("repeats", F.col("files_seen") - F.col("files"))  # one row each

@@ -59,7 +59,7 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {}, None)
-        self.open, self.body = [self.root], None
+        self.open, self.body, self.open_p = [self.root], None, 0
 
     def _into_body(self):
         if self.body is None:
@@ -82,29 +82,33 @@ class _Builder(HTMLParser):
                 return
         else:
             self._into_body()
-        names = [n.tag for n in self.open]
-        if tag in CLOSES_P and "p" in names:
+        if tag in CLOSES_P and self.open_p:
             self._pop("p")
         elif tag in ENDS:
             for at in range(len(self.open) - 1, 0, -1):
                 if self.open[at].tag in SCOPES[tag]:
                     break
                 if self.open[at].tag in ENDS[tag]:
-                    del self.open[at:]
+                    self._cut(at)
                     if tag != "tr":
                         break
         node = Node(tag, found, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.open_p += tag == "p"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
+    def _cut(self, at):
+        self.open_p -= sum(n.tag == "p" for n in self.open[at:])
+        del self.open[at:]
+
     def _pop(self, tag):
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
-                del self.open[at:]
+                self._cut(at)
                 return
 
     def handle_endtag(self, tag):
@@ -194,6 +198,14 @@ def query(root: Node, text: str) -> list[Node]:
     return [n for n in root.walk() if any(_matches(n, c) for c in choices)]
 
 
+def remove(root: Node, text: str) -> None:
+    """Take out the elements that a selector finds, and what lies below them."""
+    gone = {id(n) for n in query(root, text)}
+    for n in list(root.walk()) if gone else ():
+        if any(id(c) in gone for c in n.children):
+            n.children = [c for c in n.children if id(c) not in gone]
+
+
 def flat(text: str) -> str:
     return _SPACE.sub(" ", text).strip(" ")
 
@@ -203,29 +215,29 @@ def stripped(text: str) -> str:
 
 
 def markdown(root: Node) -> str:
-    out = []
-
-    def walk(node):
-        if isinstance(node, str):
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):  # the end of a block
+            out.append(node[0])
+        elif isinstance(node, str):
             if stripped(node):
                 out.append(re.sub(r"[ \t]+", " ", node))
-            return
-        block = node.tag in PREFIX
-        if block:
-            out.append("\n\n" + PREFIX[node.tag])
-        elif node.tag in ("li", "br"):
-            out.append("\n- " if node.tag == "li" else "\n")
-        for child in node.children:
-            walk(child)
-        if block:
-            out.append("\n\n")
-
-    walk(root)
+        else:
+            if node.tag in PREFIX:
+                out.append("\n\n" + PREFIX[node.tag])
+                todo.append(("\n\n",))
+            elif node.tag in ("li", "br"):
+                out.append("\n- " if node.tag == "li" else "\n")
+            todo += reversed(node.children)
     return stripped(re.sub(r"\n{3,}", "\n\n", "".join(out)))
 
 
 def gfm(root: Node) -> str:
-    """Markdown with six heading levels, links, images, emphasis, code, quotes, rules, nested lists and tables."""
+    """Markdown with six heading levels, links, images, emphasis, code, quotes, rules, nested lists and tables.
+
+    A page nested deeper than Python's stack allows is written as plain Markdown.
+    """
 
     def inner(node, depth=0):
         return "".join(walk(c, depth) for c in node.children)
@@ -258,7 +270,10 @@ def gfm(root: Node) -> str:
             return "\n\n" + "\n".join("| " + " | ".join(r) + " |" + ("\n" + "|" + " --- |" * len(r) if i == 0 else "") for i, r in enumerate(rows)) + "\n\n"
         return f"\n\n{inner(node, depth)}\n\n" if t in CLOSES_P else inner(node, depth)
 
-    return re.sub(r"\n{3,}", "\n\n", walk(root, 0)).strip()
+    try:
+        return re.sub(r"\n{3,}", "\n\n", walk(root, 0)).strip()
+    except RecursionError:
+        return markdown(root)
 
 
 PARSED = T.StructType(
@@ -286,16 +301,14 @@ def extract(html: str | None, base: str | None, selectors: tuple = (), strip: bo
         if n.tag == "script" and n.attrs.get("type") == "application/ld+json":
             try:
                 value = json.loads(n.text())
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             linked += [json.dumps(v, ensure_ascii=False) for v in (value if isinstance(value, list) else [value]) if isinstance(v, dict)]
     hrefs = [stripped(n.attrs["href"]) for n in nodes if n.tag == "a" and "href" in n.attrs]
     links = list(dict.fromkeys(resolved(base, h) for h in hrefs if h and not h.startswith("javascript:")))
     chosen = {s: [t for t in (flat(n.text()) for n in query(root, s)) if t] for s in selectors}
     canonical = next((resolved(base, stripped(n.attrs["href"])) for n in nodes if n.tag == "link" and n.attrs.get("rel", "").lower() == "canonical" and n.attrs.get("href")), None)
-    for n in query(root, BOILERPLATE if strip else CODE_ONLY):
-        if n.parent is not None:
-            n.parent.children = [c for c in n.parent.children if c is not n]
+    remove(root, BOILERPLATE if strip else CODE_ONLY)
     left = {}
     for n in root.walk():
         left.setdefault(n.tag, n)
@@ -317,8 +330,10 @@ def page_fields(html: Column, base: Column, selectors: tuple = (), strip: bool =
 
 
 def parse_pages(df: DataFrame, html: str = "html", base: str = "url", **options) -> DataFrame:
-    """df without the HTML, with one column for each field. A null page is an empty one."""
-    return df.withColumn("_p", page_fields(F.col(html), F.col(base), **options)).select(*(c for c in df.columns if c != html), "_p.*")
+    """df without the HTML, with one column for each field; columns of those names are replaced. A null page is an empty one."""
+    fields = page_fields(F.col(html), F.col(base), **options)
+    kept = [c for c in df.columns if c != html and c not in PARSED.names]
+    return df.select(*kept, fields.alias("_p")).select(*kept, "_p.*")
 
 
 NODES = T.ArrayType(
@@ -360,18 +375,187 @@ def descendants(nodes: DataFrame, key: str, above: Column, below: Column) -> Dat
     return nodes.where(below).join(a, key).where((F.col("node_id") > F.col("_a")) & (F.col("post") < F.col("_z"))).drop("_a", "_z").dropDuplicates([key, "node_id"])
 
 
-def skeleton(html: str | None, most_chars: int = 6000) -> str:
-    """The page's element outline without text; equal neighbours are written once with their count."""
+def skeleton(html: str | None, most_tokens: int | None = None) -> str:
+    """The page's element outline without text; equal neighbours are written once with their count.
 
-    def shape(node, depth):
-        kids = [shape(c, depth + 1) for c in node.children if isinstance(c, Node) and c.tag not in ("script", "style")]
-        merged = []
-        for k in kids:
-            if merged and merged[-1][0] == k:
-                merged[-1][1] += 1
-            else:
-                merged.append([k, 1])
+    With most_tokens (four characters each), whole lines of the deepest levels go first until the outline fits.
+    """
+    done: dict[int, tuple] = {}
+    root = parse(html)
+    for node in reversed(list(root.walk())):  # those below come before
+        merged: list[list] = []
+        for c in node.children:
+            if isinstance(c, Node) and c.tag not in ("script", "style"):
+                own = done.pop(id(c))
+                if merged and merged[-1][0] == own:
+                    merged[-1][1] += 1
+                else:
+                    merged.append([own, 1])
         name = node.tag + "".join(f".{c}" for c in node.attrs.get("class", "").split())
-        return "  " * depth + name + "\n" + "".join(k if n == 1 else k.replace("\n", f" count={n}\n", 1) for k, n in merged)
+        lines = [(0, name)]
+        for own, n in merged:
+            lines += [(depth + 1, text + (f" count={n}" if n > 1 and at == 0 else "")) for at, (depth, text) in enumerate(own)]
+        done[id(node)] = tuple(lines)
+    lines = done[id(root)]
+    written = lambda level: "".join("  " * d + t + "\n" for d, t in lines if d <= level)
+    level = max(d for d, _ in lines)
+    while most_tokens is not None and level and len(written(level)) > 4 * most_tokens:
+        level -= 1
+    return written(level)
+
+
+def outline(html: Column, most_tokens: int | None = None) -> Column:
+    """skeleton as an expression."""
+
+    @F.pandas_udf(T.StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([skeleton(h, most_tokens) for h in pages], dtype=object)
+
+    return run(html)
+
+
+def query_all(root: Node, tag: str | None = None, class_name: str | None = None, own_id: str | None = None) -> list[str]:
+    """Texts of the elements that have the tag, class and id asked for, in document order; empty ones are left out."""
+    fits = lambda n: (tag is None or n.tag == tag.lower()) and (class_name is None or class_name in n.attrs.get("class", "").split()) and (own_id is None or n.attrs.get("id") == own_id)
+    return [t for t in (flat(n.text()) for n in root.walk() if fits(n)) if t]
+
+
+def query_with_regex(html: Column, pattern: str, group: int = 1) -> Column:
+    """array<string> of a group of every match in the raw page; the whole match where the pattern has no group.
+
+    ValueError for a group that the pattern doesn't have.
+    """
+    groups = re.compile(pattern).groups
+    if group < 0 or groups and group > groups:
+        raise ValueError(f"the pattern has {groups} groups, not {group}")
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), F.lit(group if groups else 0))
+
+
+ELEMENTS = T.ArrayType(T.StringType())
+
+
+def elements(html: Column, tag: str | None = None, class_name: str | None = None, own_id: str | None = None) -> Column:
+    """query_all as an expression."""
+
+    @F.pandas_udf(ELEMENTS)
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([query_all(parse(h), tag, class_name, own_id) for h in pages], dtype=object)
+
+    return run(html)
+
+
+# Attributes that hold the value of an item's property, by element.
+VALUE_IN = {"meta": "content", "a": "href", "area": "href", "link": "href", "img": "src", "audio": "src", "video": "src", "source": "src", "iframe": "src", "embed": "src", "object": "data", "data": "value", "meter": "value", "time": "datetime"}
+
+
+def linked_items(root: Node, base: str | None = None) -> list[dict]:
+    """Microdata and RDFa Lite: a dict for each item with syntax, its place, type, and properties (name, value, item).
+
+    A property belongs to the nearest item above it. item is the number of the item that is the value, else -1.
+    """
+    items, of = [], {}
+    owner: dict[tuple, int] = {}
+    for n in root.walk():
+        for syntax, scope, kind, prop in (("microdata", "itemscope", "itemtype", "itemprop"), ("rdfa", "typeof", "typeof", "property")):
+            above = owner.get((syntax, id(n.parent)), -1)
+            own = above
+            vocabulary = n.attrs.get("vocab") if syntax == "rdfa" else None
+            of[syntax, id(n)] = vocabulary if vocabulary is not None else of.get((syntax, id(n.parent)), "")
+            if scope in n.attrs:
+                own = len(items)
+                name = n.attrs.get(kind, "").split()[:1]
+                prefix = of[syntax, id(n)] if syntax == "rdfa" and name and ":" not in name[0] else ""
+                items.append({"syntax": syntax, "item": own, "type": prefix + name[0] if name else "", "properties": []})
+            owner[syntax, id(n)] = own
+            if above >= 0 and prop in n.attrs:
+                at = VALUE_IN.get(n.tag)
+                value = n.attrs["content"] if "content" in n.attrs else n.attrs[at] if at in n.attrs else flat(n.text())
+                value = resolved(base, stripped(value)) if at in ("href", "src", "data") and at in n.attrs and "content" not in n.attrs else flat(value)
+                for name in n.attrs[prop].split():
+                    items[above]["properties"].append({"name": name, "value": None if own != above else value, "child": own if own != above else -1})
+    return items
+
+
+PROPERTY = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("child", T.IntegerType())])
+ITEMS = T.ArrayType(T.StructType([T.StructField("syntax", T.StringType()), T.StructField("item", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("properties", T.ArrayType(PROPERTY))]))
+
+
+@F.pandas_udf(ITEMS)
+def _items(pages: pd.Series, bases: pd.Series) -> pd.Series:
+    return pd.Series([linked_items(parse(h), b) for h, b in zip(pages, bases, strict=True)], dtype=object)
+
+
+def item_properties(df: DataFrame, key: str, html: str = "html", base: str = "url") -> DataFrame:
+    """(key, syntax, item, type, place, name, value, child) rows of the Microdata and RDFa Lite items of pages."""
+    rows = df.select(key, F.explode(_items(F.col(html), F.col(base))).alias("i")).select(key, "i.syntax", "i.item", "i.type", F.posexplode("i.properties").alias("place", "p"))
+    return rows.select(key, "syntax", "item", "type", "place", "p.*")
+
+
+# This repository's weights for finding a page's main content.
+GOOD = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
+BAD = re.compile(r"ad-|ads|banner|combx|comment|footer|menu|meta|nav|promo|related|share|sidebar|social|sponsor|widget", re.I)
+PARAGRAPHS = frozenset("p pre td blockquote li".split())
+
+
+def readable(root: Node) -> tuple[Node, float]:
+    """The element that holds the page's main content, and its score.
+
+    Each paragraph of 25 characters or more gives 1, a point a comma and up to 3 for its length (a point a 100
+    characters) to its parent, and half of it to its grandparent. Candidates add 25 for good class and id words, take 25
+    off for bad ones, and are scaled by the share of their text outside links. The earliest of the best wins; body
+    where there is no candidate.
+    """
+    scores: dict[int, float] = {}
+    found: dict[int, Node] = {}
+    for n in root.walk():
+        if n.tag not in PARAGRAPHS or n.parent is None:
+            continue
+        text = flat(n.text())
+        if len(text) < 25:
+            continue
+        points = 1 + text.count(",") + min(len(text) // 100, 3)
+        for node, share in ((n.parent, 1.0), (n.parent.parent, 0.5)):
+            if node is not None:
+                if id(node) not in found:
+                    named = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
+                    found[id(node)], scores[id(node)] = node, 25.0 * bool(GOOD.search(named)) - 25.0 * bool(BAD.search(named))
+                scores[id(node)] += points * share
+    best, top = None, 0.0
+    for node in root.walk():
+        if id(node) in found:
+            whole = len(flat(node.text()))
+            linked = sum(len(flat(a.text())) for a in node.walk() if a.tag == "a")
+            score = scores[id(node)] * (1 - linked / whole if whole else 1)
+            if best is None or score > top:
+                best, top = node, score
+    return (best, top) if best is not None else (next((n for n in root.walk() if n.tag == "body"), root), 0.0)
+
+
+ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "byline", "published", "body", "twitter_card", "canonical")] + [T.StructField("images", T.ArrayType(T.StringType())), T.StructField("n_words", T.IntegerType()), T.StructField("reading_seconds", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+
+def article(html: str | None, base: str | None) -> dict:
+    """An article's fields: the main content by readable(), metadata, absolute image addresses, and reading time at 200
+    words a minute."""
+    got, root = extract(html, base), parse(html)
+    cards = {n.attrs["name"].lower(): stripped(n.attrs.get("content", "")) for n in root.walk() if n.tag == "meta" and n.attrs.get("name", "").lower().startswith("twitter:")}
+    remove(root, CODE_ONLY)
+    top, score = readable(root)
+    by = next((flat(n.text()) for n in root.walk() if n.attrs.get("rel") == "author" or n.attrs.get("itemprop") == "author" or "byline" in n.attrs.get("class", "").split()), None)
+    when = next((n.attrs["datetime"] for n in root.walk() if n.tag == "time" and n.attrs.get("datetime")), None)
+    properties = {n.attrs["property"].lower(): stripped(n.attrs.get("content", "")) for n in root.walk() if n.tag == "meta" and "property" in n.attrs}
+    body = flat(top.text())
+    words = len(body.split())
+    images = list(dict.fromkeys(resolved(base, stripped(n.attrs["src"])) for n in top.walk() if n.tag == "img" and n.attrs.get("src")))
+    return {"title": got["open_graph"].get("title") or got["title"], "byline": got["meta"].get("author") or by, "published": properties.get("article:published_time") or when, "body": body, "twitter_card": cards.get("twitter:card"), "canonical": got["canonical"], "images": images, "n_words": words, "reading_seconds": -(-words * 60 // 200), "score": round(score, 6)}
+
+
+def parse_articles(df: DataFrame, html: str = "html", base: str = "url") -> DataFrame:
+    """df without the HTML, with the fields of ARTICLE; columns of those names are replaced."""
+
+    @F.pandas_udf(ARTICLE)
+    def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([article(h, b) for h, b in zip(pages, bases, strict=True)], columns=ARTICLE.names)
 
-    return shape(parse(html), 0)[:most_chars]
+    kept = [c for c in df.columns if c != html and c not in ARTICLE.names]
+    return df.select(*kept, run.asNondeterministic()(F.col(html), F.col(base)).alias("_a")).select(*kept, "_a.*")

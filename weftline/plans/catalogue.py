@@ -242,20 +242,22 @@ def index_backfill_anti(spark, sf_dir):
     return fileindex.backfill(index, fileindex.inverted(index.where("id % 3 = 0"))).select("id", "n_tokens", "place", "token")
 
 
-@query("""WITH RECURSIVE d AS (SELECT 'http://s' || s_suppkey || '.example.com/pub/' AS url, 0 AS depth FROM supplier WHERE s_suppkey < 7
+@query("""WITH RECURSIVE d AS (SELECT 'http://s' || s_suppkey || '.example.com/pub/' AS url, 0 AS depth FROM supplier
   UNION ALL SELECT d.url || x.n, d.depth + 1 FROM d, (VALUES ('a/'), ('b%20c/')) x(n) WHERE d.depth < 2)
 SELECT url || f.n AS file_url, f.name AS file_name, f.kind AS file_type, CAST(depth AS INTEGER) AS depth FROM d, (VALUES ('clip.mp4', 'clip.mp4', 'Video'), ('my%20notes.tar.gz', 'my notes.tar.gz', 'Archive')) f(n, name, kind)""")
 def crawl_bfs(spark, sf_dir):
     listing = F.concat(F.lit('<a href="../">Parent Directory</a><a href="?C=N;O=D">Name</a><a href="http://other.example.com/x.pdf">x</a><a href="clip.mp4#t=1">c</a><a href="my%20notes.tar.gz">n</a><a href="index.html">i</a><a href="k.xyz">k</a>'), F.when(F.col("depth") < 2, '<a href="a/">a</a><a href="./b%20c/">b</a><a href="a/">again</a>').otherwise(""))
-    seeds = _read(spark, sf_dir, "supplier").where("s_suppkey < 7").select(F.concat(F.lit("http://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com/pub")).alias("url"))
+    seeds = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("http://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com/pub")).alias("url"))
     files, _ = fileindex.crawl(seeds, lambda d: d.withColumn("html", listing), keep=_kept)
     return files.select("file_url", "file_name", "file_type", "depth")
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df written where driver and executors share a folder and read again, else as it is."""
+    """df written where driver and executors share a folder and read again; kept in memory on a local master without one."""
     root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if df.sparkSession.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         return df.cache()
     path = f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -394,3 +396,121 @@ def provider_extraction(spark, sf_dir):
     chain = extract.ProviderChain([extract.OpenAiProvider("none"), fake], allow_cloud=False)
     asked = extract.extract_json(_read(spark, sf_dir, "conversations"), chain, "find the product", {"product": "string"}, context="role")
     return asked.select("conv_id", "turn", F.get_json_object("ai_json", "$.product").alias("product"))
+
+
+@query("""SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS INTEGER) AS place, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""")
+def page_regex(spark, sf_dir):
+    found = html.query_with_regex(F.col("html"), '<a href="([^"]*)"')
+    return _read(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("place", "href"))
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_decoded("regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's')")}, '\\s+', ' ', 'g')) AS h1, CAST(1 AS INTEGER) AS n FROM pages")
+def page_query_all(spark, sf_dir):
+    found = html.elements(F.col("html"), tag="h1")
+    return _read(spark, sf_dir, "pages").select("page_id", found.alias("found")).select("page_id", F.col("found")[0].alias("h1"), F.size("found").alias("n"))
+
+
+def _marked_pages(spark, sf_dir):
+    """Pages made of parts: a product as Microdata with an offer inside it, its brand as RDFa, and a story around them."""
+    text = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) and p[:2] != "p_" else F.col(p).cast("string") for p in x))
+    head = text('<title>no</title><link rel="canonical" href="/c/', "p_partkey", '"><meta property="og:title" content="', "p_name", '"><meta name="author" content="', "p_brand", '"><meta name="twitter:card" content="summary"><meta property="article:published_time" content="2024-03-05">')
+    item = text('<div itemscope itemtype="https://schema.org/Product"><b itemprop="name"> ', "p_name", '</b><a itemprop="url" href="/p/', "p_partkey", '">more</a><span itemprop="offers" itemscope itemtype="https://schema.org/Offer"><meta itemprop="price" content="', "p_retailprice", '"></span></div><div vocab="https://schema.org/" typeof="Brand"><i property="name">', "p_brand", "</i></div>")
+    story = text('<div class="sidebar"><p>Other things to see here, and here, and here, and over there, and so on.</p></div><div class="post"><p>This is the story of ', "p_name", ", which is of the kind ", "p_type", ', as told.</p><p>It goes on for a while, and then it ends with the size of ', "p_size", '.</p><img src="/i/', "p_partkey", '.png"></div>')
+    return _read(spark, sf_dir, "part").select("p_partkey", F.concat(head, item, story).alias("html"), F.lit("https://shop.example.com/x/y").alias("url"))
+
+
+@query("""SELECT p_partkey, syntax, CAST(item AS INTEGER) AS item, 'https://schema.org/' || type AS type, CAST(place AS INTEGER) AS place, name, value, CAST(child AS INTEGER) AS child FROM (
+SELECT p_partkey, 'microdata' AS syntax, 0 AS item, 'Product' AS type, 0 AS place, 'name' AS name, p_name AS value, -1 AS child FROM part
+UNION ALL SELECT p_partkey, 'microdata', 0, 'Product', 1, 'url', 'https://shop.example.com/p/' || p_partkey, -1 FROM part
+UNION ALL SELECT p_partkey, 'microdata', 0, 'Product', 2, 'offers', NULL, 1 FROM part
+UNION ALL SELECT p_partkey, 'microdata', 1, 'Offer', 0, 'price', CAST(p_retailprice AS VARCHAR), -1 FROM part
+UNION ALL SELECT p_partkey, 'rdfa', 2, 'Brand', 0, 'name', p_brand, -1 FROM part)""")
+def item_properties(spark, sf_dir):
+    return html.item_properties(_marked_pages(spark, sf_dir), "p_partkey")
+
+
+_BODY = "'This is the story of ' || p_name || ', which is of the kind ' || p_type || ', as told.It goes on for a while, and then it ends with the size of ' || p_size || '.'"
+
+
+@query(f"SELECT p_partkey, p_name AS title, p_brand AS byline, '2024-03-05' AS published, 'summary' AS twitter_card, 'https://shop.example.com/c/' || p_partkey AS canonical, 'https://shop.example.com/i/' || p_partkey || '.png' AS image, CAST(len(string_split({_BODY}, ' ')) AS INTEGER) AS n_words, CAST(ceil(len(string_split({_BODY}, ' ')) * 0.3) AS INTEGER) AS reading_seconds FROM part")
+def article_fields(spark, sf_dir):
+    a = html.parse_articles(_marked_pages(spark, sf_dir))
+    return a.select("p_partkey", "title", "byline", "published", "twitter_card", "canonical", F.col("images")[0].alias("image"), "n_words", "reading_seconds")
+
+
+@query(f"SELECT p_partkey, {_BODY} AS body FROM part")
+def readable_body(spark, sf_dir):
+    return html.parse_articles(_marked_pages(spark, sf_dir)).select("p_partkey", "body")
+
+
+@query("SELECT p_partkey, '## ' || p_type || chr(10) || chr(10) || '- size ' || p_size || chr(10) || '- ' || CAST(p_retailprice AS VARCHAR) AS markdown FROM part")
+def page_gfm(spark, sf_dir):
+    return html.parse_pages(_product_pages(spark, sf_dir), dialect="gfm").select("p_partkey", "markdown")
+
+
+@query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"' || CASE WHEN n_regionkey % 2 = 0 THEN ',\"region\":' || n_regionkey ELSE '' END || '}' AS json FROM nation")
+def result_json(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") % 2 == 0, F.col("n_regionkey")).alias("region"))
+    return n.select("n_nationkey", codecs.result_json(n).alias("json"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size, CASE WHEN p_partkey % 2 = 0 THEN 'a@b.example' END AS mail,
+CASE WHEN p_partkey % 3 = 0 THEN 'size: not a number' ELSE '' END || CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN '; ' ELSE '' END || CASE WHEN p_partkey % 2 = 1 THEN 'mail: missing' ELSE '' END AS errors FROM part""")
+def schema_validation(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.when(k % 3 == 0, F.lit("large")).otherwise(F.col("p_size").cast("string")).alias("size"), F.when(k % 2 == 0, F.lit("a@b.example")).alias("mail"))
+    return schema.validated(rows, [schema.Field("size", "number"), schema.Field("mail", "email", required=True)]).select("p_partkey", "size", "mail", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("SELECT p_partkey, p_name AS title, p_brand AS brand FROM part")
+def json_ld_graph(spark, sf_dir):
+    node = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("headline")), F.struct(F.lit(None).cast("string").alias("headline"))).alias("@graph")))
+    brand = F.to_json(F.struct(F.struct(F.col("p_brand").alias("name")).alias("brand")))
+    p = _read(spark, sf_dir, "part").select("p_partkey", F.array(node, brand).alias("j"))
+    return p.select("p_partkey", schema.from_json_ld(F.col("j"), "title").alias("title"), F.get_json_object(schema.from_json_ld(F.col("j"), "brand"), "$.name").alias("brand"))
+
+
+@query("SELECT c_custkey, 'Authorization: Bearer *** and api_key=*** of ' || c_name AS said FROM customer")
+def key_redaction(spark, sf_dir):
+    c = F.col("c_custkey").cast("string")
+    said = F.concat(F.lit("Authorization: Bearer tok-"), c, F.lit(" and api_key=k"), c, F.lit(" of "), F.col("c_name"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", tx.redacted(said).alias("said"))
+
+
+@query(_CHUNKS + _RANKED + "SELECT doc_id, string_agg(chunk, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM k WHERE rank <= 3 GROUP BY doc_id")
+def ranked_context(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("markdown"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("clean_text"))
+    return extract.contexts(docs, "doc_id", "tion of That elle tion", max_tokens=100, top_k=3)
+
+
+@query(_CHUNKS + ", b AS (SELECT *, sum(CAST(ceil(length(chunk) / 4.0) AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY chunk_idx)::BIGINT AS tokens_so_far FROM c) SELECT * FROM b WHERE tokens_so_far <= 450")
+def chunk_budget(spark, sf_dir):
+    return tx.within_budget(_chunks(spark, sf_dir), "doc_id", ["chunk_idx"], 500, headroom=50)
+
+
+@query(_INDEX + "SELECT file_name, file_url, file_type FROM i WHERE file_type = 'Archive' AND file_name ILIKE '%wid%' ORDER BY file_name, file_url LIMIT 50")
+def file_search_typed(spark, sf_dir):
+    return fileindex.search(_index(spark, sf_dir), "wid", file_type="Compressed", mode="like").select("file_name", "file_url", "file_type")
+
+
+@query("SELECT 'h' || (s_suppkey % 7) AS host, bool_and(s_suppkey % 7 <> 3 OR s_acctbal > 0) AS accepted FROM supplier GROUP BY ALL")
+def recipe_verified(spark, sf_dir):
+    host = F.concat(F.lit("h"), (F.col("s_suppkey") % 7).cast("string"))
+    s = _read(spark, sf_dir, "supplier").select(host.alias("host"), F.col("s_name").alias("url"), F.lit("price").alias("field"), F.col("s_acctbal").cast("string").alias("value"), "s_acctbal")
+    said = s.withColumn("value", F.when((F.col("host") != "h3") | (F.col("s_acctbal") > 0), F.col("value")).otherwise(F.lit("none")))
+    return schema.verified(s.drop("s_acctbal"), said.drop("s_acctbal"), "url")
+
+
+@query("SELECT count(*) AS directories, count(*) FILTER (s_suppkey % 4 = 0) AS errors, count(*) + count(*) FILTER (s_suppkey % 3 = 0) AS files_seen, count(*) AS files, count(*) FILTER (s_suppkey % 3 = 0) AS repeats FROM supplier")
+def crawl_counters(spark, sf_dir):
+    s = _read(spark, sf_dir, "supplier")
+    fetched = s.select(F.col("s_name").alias("url"), F.when(F.col("s_suppkey") % 4 != 0, F.lit("<a>")).alias("html"))
+    again = F.when(F.col("s_suppkey") % 3 == 0, F.array("s_name", "s_name")).otherwise(F.array("s_name"))
+    return fileindex.crawl_stats(fetched, s.select(F.explode(again).alias("file_url")))
+
+
+@query("SELECT p_partkey, 'html|  body|    main|      h2|      ul|        li.a count=' || (1 + p_partkey % 3) || '|        li' AS outline FROM part")
+def page_skeleton(spark, sf_dir):
+    page = F.concat(F.lit("<main><h2>"), "p_name", F.lit("</h2><ul>"), F.repeat(F.lit("<li class=a>x"), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit("<li>y</ul></main><script>z</script>"))
+    outline = F.regexp_replace(F.regexp_replace(html.outline(page), "\n$", ""), "\n", "|")
+    return _read(spark, sf_dir, "part").select("p_partkey", F.when(F.contains(outline, F.lit("count=")), outline).otherwise(F.replace(outline, F.lit("li.a"), F.lit("li.a count=1"))).alias("outline"))
