@@ -106,5 +106,5 @@ def test_article():
     got = html.article(page, "https://e.com/a/b")
     assert got["body"].startswith("The main content") and "sidebar" not in got["body"]
     assert (got["title"], got["byline"], got["published"], got["twitter_card"], got["images"]) == ("T", "Ann", "2024-01-02", "summary", ["https://e.com/a/i.png"])
-    assert got["n_words"] == 22 and got["reading_seconds"] == 7
+    assert got["n_words"] == 21 and got["reading_seconds"] == 7
     assert html.article(None, None)["body"] == ""

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from weftline.functions import urls
 
+# Headers of a request, beside the user agent.
+HEADERS = {"Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.5"}
 FETCHED = "url string, status int, html string, etag string, attempts int, elapsed_ms long, error_kind string, error_message string"
 
 
@@ -34,7 +36,7 @@ class FetchConfig:
 
 def _once(url: str, config: FetchConfig, headers: dict) -> tuple[int, str | None, str | None, str | None]:
     """status, text, etag and error kind of one request."""
-    own = {"User-Agent": config.user_agent, "Accept": "text/html,application/xhtml+xml,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9"} | headers
+    own = {"User-Agent": config.user_agent, **HEADERS} | headers
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=own), timeout=config.timeout_s) as reply:
             kind = reply.headers.get("Content-Type", "")
