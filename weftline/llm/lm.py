@@ -14,6 +14,7 @@ A word is known by its 64-bit hash: two of 10^8 different words share one with a
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -241,8 +242,8 @@ class Model:
             order = next(groups)
             total = np.zeros(len(order))
             for n, _, _, _, z in groups:
-                odds = 1 + np.exp(-z)  # of four choices the product stays below the largest float
-                total[:n] += np.log(odds[:, 0] * odds[:, 1] * odds[:, 2] * odds[:, 3])
+                odds = 1 + np.exp(-z)  # of a group the product stays below the largest float
+                total[:n] += np.log(functools.reduce(np.multiply, odds.T))
             out[at + order] = -total
         return out
 
@@ -290,7 +291,7 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": [pdf["at"].iloc[0]], "change": [change.astype("<f4").tobytes()]})
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, model: Model, *, tasks: int, rounds: int = 3, rate: float = 0.6) -> Model:
+def train(texts: DataFrame, vocabulary: Vocabulary, model: Model, *, tasks: int, rounds: int = 3, rate: float = 0.3) -> Model:
     """texts: (text, part) of training documents; part, from 0 to rounds - 1, says in which round a text is used."""
     for at in range(rounds):
         held = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
@@ -352,7 +353,7 @@ def _score(held):
     return run
 
 
-def lm_scores(docs: DataFrame, *, folds: int = 5, rounds: int = 3, rate: float = 0.6) -> DataFrame:
+def lm_scores(docs: DataFrame, *, folds: int = 5, rounds: int = 3, rate: float = 0.3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     held_out documents (crc32 of the doc_id as text, mod folds, is 1) are never learned from, nor are rows without
