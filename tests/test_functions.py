@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -173,3 +174,49 @@ def test_codecs(spark):
     df = spark.createDataFrame([(1, "a,b", None)], "i int, s string, n string").withColumn("t", F.struct(F.lit(1).alias("x"), F.array(F.lit("q")).alias("y")))
     assert codecs.flattened(df).columns == ["i", "s", "n", "t.x", "t.y"]
     assert df.select(codecs.result_json(df)).first()[0] == '{"i":1,"s":"a,b","t":{"x":1,"y":["q"]}}'
+
+
+def test_crawl_delay_of_the_agents_group():
+    text_ = "User-agent: *\nCrawl-delay: soon\nCrawl-delay: 2.5 # slow\nDisallow: /a\n\nUser-agent: b\nDisallow: /x"
+    assert http.robots_delay(text_) == 2.5 and http.robots_delay(text_, "b") is None
+    assert http.robots_rules(text_) == [("/a", False)]
+
+
+def test_structural_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import text as tx
+
+    def plain(markdown, most, overlap):
+        done, tail, held = [], "", ""
+        for x in [x for x in re.split(r"\n\s*\n", markdown.strip()) if x.strip()]:
+            heading, whole = re.match(r"#{1,6}\s", x), re.match(r"\s*(\||[-*+]\s|[0-9]+[.)]\s)", x)
+            if not heading and held and len(held) + len(x) + 2 <= most:
+                held += "\n\n" + x
+                continue
+            if held:
+                done.append(tail + held)
+            last = held[-overlap:] if overlap else ""
+            tail = last + "\n\n" if last and not heading else ""
+            if not whole and len(x) > most:
+                done += [x[i : i + most] for i in range(0, len(x), most)]
+                held = tail = ""
+            else:
+                held = x
+        return done + ([tail + held] if held else [])
+
+    pages = ["# A\n\none two\n\n| a |\n|---|\n" + "| b |\n" * 30 + "\n## B\n\n" + "word " * 40 + "\n\n- x\n- y\n\nend", "", "  \n\n ", "p" * 95, "1. a\n2. b\n\nabc\n\n" + "q" * 29 + "\n\nz"]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate([*pages, None])], "n int, x string")
+    for most, overlap in ((30, 0), (30, 7), (12, 20), (1000, 5)):
+        got = {r["n"]: r["c"] for r in rows.select("n", tx.structural_chunks(F.col("x"), most, overlap).alias("c")).collect()}
+        assert got == {n: plain(x or "", most, overlap) for n, x in enumerate([*pages, None])}
+
+
+def test_planned_fields(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import schema
+
+    rows = spark.createDataFrame([("Get prices, PRICE and every email", None), ("nothing asked", "no json"), (None, '{"fields": []}'), ("title", '{"fields": [{"name": "x", "kind": "date"}]}')], "q string, r string")
+    got = [(r["p"]["many"], [tuple(f) for f in r["p"]["fields"]]) for r in rows.select(schema.planned(F.col("q"), F.col("r")).alias("p")).collect()]
+    assert got == [(True, [("price", "money"), ("email", "email")]), (False, []), (False, []), (False, [("x", "date")])]

@@ -123,3 +123,47 @@ def test_cached_requests_stream(spark, tmp_path):
     q = pages.cached_requests(stream, "k", "ts", 50).writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["k"], r["at_ms"] - 10**12, r["hit"]) for r in got) == [("a", 0, False), ("a", 10, True), ("a", 60, False), ("b", 5, False)]
+
+
+def test_lru_by_blocks_equals_one_walk(spark):
+    import random
+
+    from weftline.operators import cache
+
+    draw = random.Random(3)
+    rows = [(n, draw.choice(["a", "a", "a", None]), draw.choice([None, *range(12)]), 2**60 + n) for n in range(600)]
+    log = spark.createDataFrame(rows, "at int, shard string, k int, big long")
+    whole = {r["big"]: r["hit"] for r in cache.lru_hits(log, "shard", "k", "at", 4).collect()}
+    for width in (7, 100, 1000):
+        cut = cache.lru_hits(log, "shard", "k", "at", 4, F.floor(F.col("at") / width)).collect()
+        assert {r["big"]: r["hit"] for r in cut} == whole and len(cut) == 600
+    held, expected = {}, {}
+    for at, shard, k, big in rows:
+        own = held.setdefault(shard, [])
+        expected[big] = k in own
+        held[shard] = ([x for x in own if x != k] + [k])[-4:]
+    assert whole == expected
+    assert cache.lru_hits(log.limit(0), "shard", "k", "at", 4, F.col("at")).collect() == []
+    stats = cache.cache_stats(cache.lru_hits(log, "shard", "k", "at", 4), "shard").collect()
+    assert sum(r["requests"] for r in stats) == 600 and sum(r["hits"] for r in stats) == sum(expected.values())
+
+
+def test_savings_count_models_without_price_as_free(spark):
+    from weftline.operators import extract
+
+    calls = spark.createDataFrame([("s", "m", "abcd" * 1000, "", True), ("s", "m", "abcd", "", False), ("s", "x", "abcd", None, False)], "session string, model string, prompt string, reply string, from_cache boolean")
+    prices = spark.createDataFrame([("m", 1000.0, 1.0)], "model string, price_in double, price_out double")
+    assert [tuple(r) for r in extract.savings(calls, prices).collect()] == [("s", 3, 1, 0.001, 1.0)]
+
+
+def test_recipes_by_host_and_schema(spark):
+    import datetime
+
+    from weftline.operators import schema
+
+    key, old = schema.schema_hash([schema.Field("a")]), datetime.date(2000, 1, 1)
+    recipes = spark.createDataFrame([("X.example", key, 1, old, "r1"), ("x.example", key, 2, old, "r2"), ("x.example", "other", 3, old, "r3")], "host string, schema_hash string, version int, created date, recipe string")
+    pages = spark.createDataFrame([("x.Example",), ("y.example",), (None,)], "host string")
+    got = lambda **how: {r["host"]: r["recipe"] for r in schema.recipes_for(pages, recipes, [schema.Field("a")], **how).collect()}
+    assert got() == {"x.Example": "r2", "y.example": None, None: None}
+    assert set(got(max_age_days=30).values()) == {None}

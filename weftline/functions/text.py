@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,6 +111,38 @@ def bm25(chunks: DataFrame, doc: str, text: str, terms: DataFrame, *, k1: float
     return one.withColumn("_s", weight).join(terms, "term").groupBy("query_id", doc).agg(F.sum("_s").alias("score"))
 
 
+def field_terms(fields: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(query_id, term) rows for bm25: the words of each field's name and of its synonyms, each once a field."""
+    words = {f: dict.fromkeys(w for name in (f, *others) for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w) for f, others in fields.items()}
+    return [(f, w) for f, own in words.items() for w in own]
+
+
+def structural_chunks(markdown: Column, max_chars: int = 12_000, overlap: int = 0) -> Column:
+    """array<string>: the blocks of Markdown (split at blank lines) packed into chunks of at most max_chars characters.
+
+    A heading always opens a chunk. Other chunks open with the last `overlap` characters of the one before, beyond
+    max_chars. Tables and lists are never split, however long; other blocks too long for a chunk are cut hard, without
+    overlap. Null and blank texts have no chunks.
+    """
+    blocks = F.filter(F.split(trimmed(markdown), r"\n(?U)\s*\n"), lambda x: trimmed(x) != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("tail"), F.lit("").alias("open"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["open"] != "", F.array_append(acc["done"], F.concat(acc["tail"], acc["open"]))).otherwise(acc["done"])
+
+    def step(acc: Column, x: Column) -> Column:
+        heading, whole = F.rlike(x, F.lit(r"^#{1,6}\s")), F.rlike(x, F.lit(r"^\s*(\||[-*+]\s|[0-9]+[.)]\s)"))
+        fits = ~heading & (acc["open"] != "") & (F.length(acc["open"]) + F.length(x) + 2 <= max_chars)
+        cut = ~whole & (F.length(x) > max_chars)
+        last = F.right(acc["open"], F.lit(overlap)) if overlap else F.lit("")
+        tail = F.when(heading | (last == ""), F.lit("")).otherwise(F.concat(last, F.lit("\n\n")))
+        done = F.when(fits, acc["done"]).when(cut, F.concat(closed(acc), _sliced(x, max_chars))).otherwise(closed(acc))
+        opened = F.when(fits, F.concat(acc["open"], F.lit("\n\n"), x)).when(cut, F.lit("")).otherwise(x)
+        return F.struct(done.alias("done"), F.when(fits, acc["tail"]).when(cut, F.lit("")).otherwise(tail).alias("tail"), opened.alias("open"))
+
+    return F.coalesce(F.aggregate(blocks, start, step, closed), F.array().cast("array<string>"))
+
+
 def context(chunks: Column) -> Column:
     return F.array_join(chunks, "\n\n---\n\n")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -23,8 +25,7 @@ def ttl_hits(log: DataFrame, key: str, at: str, ttl_ms: int) -> DataFrame:
     Which requests set a key depends on the set before, so each key's own requests are walked in order; keys are
     independent.
     """
-    schema = log.schema.add("hit", "boolean")
-
+    schema = T.StructType([*log.schema.fields, T.StructField("hit", T.BooleanType())])
     ordered = log.repartition(F.col(key)).sortWithinPartitions(key, at)
 
     def by_partition(batches):
@@ -42,26 +43,70 @@ def ttl_hits(log: DataFrame, key: str, at: str, ttl_ms: int) -> DataFrame:
     return ordered.mapInPandas(by_partition, schema)
 
 
-def lru_hits(log: DataFrame, shard: str, key: str, at: str, capacity: int) -> DataFrame:
+def lru_hits(log: DataFrame, shard: str, key: str, at: str, capacity: int, block: Column | None = None) -> DataFrame:
     """log with hit, for one cache of `capacity` keys a shard: a key is held if fewer than capacity other keys were asked
-    for since it was asked for last. Rows of a shard are walked in order by one task, in batches."""
-    schema = log.schema.add("hit", "boolean")
+    for since it was asked for last.
 
-    def by_partition(batches):
-        shard_now, held = None, OrderedDict()
+    block cuts a shard's time: an expression of `at` that never falls as `at` grows. Each block is walked by a task of
+    its own, which starts from the keys held at the block's start; those follow from the last `capacity` keys of each
+    block before, so only capacity rows a block meet in one task. Without block a shard is one block.
+    """
+    names = log.columns
+    rows = log.withColumns({"_block": F.lit(0) if block is None else block, "_turn": F.lit(0).cast("long")})
+    if block is not None:
+        rows = rows.unionByName(_held_at_start(rows, shard, key, at, capacity), allowMissingColumns=True)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, OrderedDict()
         for batch in batches:
             hits = []
-            for s, k in zip(batch[shard], batch[key], strict=True):
-                if s != shard_now:
-                    shard_now, held = s, OrderedDict()
+            turns = batch["_turn"].to_pylist()
+            for k, turn, *of in zip(batch[key].to_pylist(), turns, batch[shard].to_pylist(), batch["_block"].to_pylist(), strict=True):
+                if of != now:
+                    now, held = of, OrderedDict()
                 hits.append(k in held)
                 held[k] = True
                 held.move_to_end(k)
                 if len(held) > capacity:
                     held.popitem(last=False)
-            yield batch.assign(hit=hits)
+            out = pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(hits, pa.bool_())], [*names, "hit"])
+            yield out.filter(pa.array([turn == 0 for turn in turns], pa.bool_()))
+
+    ordered = rows.repartition(F.col(shard), F.col("_block")).sortWithinPartitions(shard, "_block", "_turn", at)
+    return ordered.mapInArrow(walk, T.StructType([*log.schema.fields, T.StructField("hit", T.BooleanType())]))
+
+
+def _held_at_start(rows: DataFrame, shard: str, key: str, at: str, capacity: int) -> DataFrame:
+    """(shard, _block, key, _turn): the keys held when a block starts, the one asked for last with the highest _turn, -1."""
+    newest = Window.partitionBy(shard, "_block").orderBy(F.desc("_last"))
+    ends = rows.groupBy(shard, "_block", key).agg(F.max(at).alias("_last")).withColumn("_turn", -F.row_number().over(newest).cast("long")).where(F.col("_turn") >= -capacity)
+    names = [shard, "_block", key, "_turn"]
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = (None, None), OrderedDict()
+        for batch in batches:
+            out = []
+            for s, b, k in zip(*(batch[c].to_pylist() for c in names[:3]), strict=True):
+                if (s, b) != now:
+                    if s != now[0]:
+                        held = OrderedDict()
+                    now = (s, b)
+                    out += [(s, b, h, i - len(held)) for i, h in enumerate(held)]
+                held[k] = True
+                held.move_to_end(k)
+                if len(held) > capacity:
+                    held.popitem(last=False)
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), batch.schema.field(n).type) for c, n in zip(columns, names, strict=True)], names)
+
+    ordered = ends.select(*names).repartition(F.col(shard)).sortWithinPartitions(shard, "_block", "_turn")
+    return ordered.mapInArrow(carry, ordered.schema)
+
 
-    return log.repartition(F.col(shard)).sortWithinPartitions(shard, at).mapInPandas(by_partition, schema)
+def cache_stats(log: DataFrame, by: str, hit: str = "hit") -> DataFrame:
+    """(by, requests, hits, misses, hit_rate)."""
+    out = log.groupBy(by).agg(F.count("*").alias("requests"), F.count_if(F.col(hit)).alias("hits"))
+    return out.withColumns({"misses": F.col("requests") - F.col("hits"), "hit_rate": F.col("hits") / F.col("requests")})
 
 
 class TtlLru:

@@ -127,7 +127,7 @@ class ProviderChain(AiProvider):
         self.providers = sorted(providers, key=lambda p: p.cloud) if prefer_local else list(providers)
         self.valid, self.allow_cloud, self.retries, self.failures = valid, allow_cloud, retries, failures
         self.failed: dict[str, int] = {}
-        self.attempts: list[tuple[str, str]] = []
+        self.attempts: list[tuple[str, str]] = []  # the last ones
 
     def _try(self, p, system, user, json_mode):
         for again in range(self.retries + 1):
@@ -143,6 +143,7 @@ class ProviderChain(AiProvider):
 
     def complete(self, system, user, json_mode=True):
         partial = None
+        del self.attempts[:-1000]
         for p in self.providers:
             if p.cloud and not self.allow_cloud or self.failed.get(p.name, 0) >= self.failures:
                 self.attempts.append((p.name, "skipped"))
@@ -197,6 +198,15 @@ def usage(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return total.join(prices, "model", "left").withColumn("cost", (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6).drop("price_in", "price_out")
 
 
+def savings(calls: DataFrame, prices: DataFrame, from_cache: str = "from_cache") -> DataFrame:
+    """(session, calls, saved_calls, cost, saved): what calls (session, model, prompt, reply, from_cache) cost, and what
+    those answered from a cache would have cost. Models without price count as free."""
+    paid = usage(calls.withColumn("session", F.struct("session", F.col(from_cache).alias("cached"))), prices)
+    own = paid.select("session.session", "session.cached", "calls", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    part = lambda c, cached: F.sum(F.when(F.col("cached") == cached, F.col(c)).otherwise(0))
+    return own.groupBy("session").agg(F.sum("calls").alias("calls"), part("calls", True).alias("saved_calls"), part("cost", False).alias("cost"), part("cost", True).alias("saved"))
+
+
 def merged_lists(parts: DataFrame, doc: str, items: str, key: str) -> DataFrame:
     """Map-reduce of list answers: items of all chunks of a document, the first of each key, in order of chunk and place."""
     from pyspark.sql.window import Window

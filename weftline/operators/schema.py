@@ -102,6 +102,37 @@ def recipe_key(host: Column, fields: list[Field]) -> Column:
     return F.concat_ws("|", F.lower(host), F.lit(schema_hash(fields)))
 
 
+def recipes_for(pages: DataFrame, recipes: DataFrame, fields: list[Field], max_age_days: int | None = None) -> DataFrame:
+    """pages (host) with the recipe of their host for these fields, of recipes (host, schema_hash, version, created,
+    recipe): the highest version, null where there is none or it is older than max_age_days."""
+    own = recipes.where(F.col("schema_hash") == schema_hash(fields))
+    if max_age_days is not None:
+        own = own.where(F.date_diff(F.current_date(), F.col("created").cast("date")) <= max_age_days)
+    newest = own.groupBy(F.lower("host").alias("_host")).agg(F.max_by("recipe", "version").alias("recipe"), F.max("version").alias("version"))
+    return pages.join(newest, F.lower(pages["host"]) == F.col("_host"), "left").drop("_host")
+
+
+#: Words of a request that name a field, and the field's type.
+ASKED = {"title": "string", "name": "string", "price": "money", "date": "date", "author": "string", "email": "email", "phone": "phone", "link": "url", "url": "url", "image": "url", "rating": "number", "quantity": "number", "description": "string", "address": "string", "brand": "string"}
+
+
+def planned(request: Column, reply: Column | None = None) -> Column:
+    """struct<many, fields array<struct<name, kind>>> of a request in words: a model's reply (JSON of that struct) where
+    it is one with fields, else by rules: each word of ASKED, singular or plural, is a field, in order and once; a list is
+    wanted where the words all, every, each or list occur, or a plural of a field."""
+    shape = "struct<many:boolean,fields:array<struct<name:string,kind:string>>>"
+    kinds = F.create_map(*(F.lit(x) for pair in ASKED.items() for x in pair))
+    words = F.filter(F.split(F.lower(F.coalesce(request, F.lit(""))), "[^a-z]+"), lambda w: w != "")
+    single = lambda w: F.when(F.endswith(w, F.lit("s")), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+    named = F.array_distinct(F.filter(F.transform(words, single), lambda w: F.map_contains_key(kinds, w)))
+    many = F.exists(words, lambda w: w.isin("all", "every", "each", "list") | (F.endswith(w, F.lit("s")) & F.map_contains_key(kinds, single(w))))
+    ruled = F.struct(many.alias("many"), F.transform(named, lambda w: F.struct(w.alias("name"), F.element_at(kinds, w).alias("kind"))).alias("fields"))
+    if reply is None:
+        return ruled
+    told = F.from_json(reply, shape)
+    return F.when(F.size(F.coalesce(told["fields"], F.array().cast("array<struct<name:string,kind:string>>"))) > 0, F.struct(F.coalesce(told["many"], F.lit(False)).alias("many"), told["fields"].alias("fields"))).otherwise(ruled)
+
+
 def run_recipes(matches: DataFrame, recipes: DataFrame, policy: str = "resynthesize", max_age_days: int = 30) -> DataFrame:
     """matches (host, url, selector_matches) with each recipe's fields (host, field, selector, created): the first match
     of the selector, n_matches, and action: keep, expired, or the policy (resynthesize, fallback_to_ai, fail) where the

@@ -279,7 +279,16 @@ def cache_ttl_hits(spark, sf_dir):
 SELECT a.event_id, a.before IS NOT NULL AND count(DISTINCT b.user_id) < 20 AS hit FROM l a LEFT JOIN l b ON a.event_type = b.event_type AND b.event_id > a.before AND b.event_id < a.event_id
 GROUP BY a.event_id, a.before""")
 def cache_lru_hits(spark, sf_dir):
-    return cache.lru_hits(_requests(spark, sf_dir), "event_type", "user_id", "event_id", 20).select("event_id", "hit")
+    return cache.lru_hits(_requests(spark, sf_dir), "event_type", "user_id", "event_id", 20, F.floor(F.col("event_id") / 10_000)).select("event_id", "hit")
+
+
+@query("""WITH l AS (SELECT event_type, event_id, user_id, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS before FROM events),
+h AS (SELECT a.event_type, a.event_id, a.before IS NOT NULL AND count(DISTINCT b.user_id) < 20 AS hit FROM l a LEFT JOIN l b ON a.event_type = b.event_type AND b.event_id > a.before AND b.event_id < a.event_id
+GROUP BY a.event_type, a.event_id, a.before)
+SELECT event_type, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 9) AS hit_rate FROM h GROUP BY event_type""")
+def cache_statistics(spark, sf_dir):
+    hits = cache.lru_hits(_requests(spark, sf_dir), "event_type", "user_id", "event_id", 20, F.floor(F.col("event_id") / 10_000))
+    return cache.cache_stats(hits, "event_type").withColumn("hit_rate", F.round("hit_rate", 9))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\W+'), lambda x: x <> '') AS w FROM documents),
@@ -514,3 +523,59 @@ def page_skeleton(spark, sf_dir):
     page = F.concat(F.lit("<main><h2>"), "p_name", F.lit("</h2><ul>"), F.repeat(F.lit("<li class=a>x"), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit("<li>y</ul></main><script>z</script>"))
     outline = F.regexp_replace(F.regexp_replace(html.outline(page), "\n$", ""), "\n", "|")
     return _read(spark, sf_dir, "part").select("p_partkey", F.when(F.contains(outline, F.lit("count=")), outline).otherwise(F.replace(outline, F.lit("li.a"), F.lit("li.a count=1"))).alias("outline"))
+
+
+_FIELDS = {"material": ["steel", "brass", "copper"], "size": ["smallBox", "large"]}
+
+
+@query("""WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_type || ' ' || p_name), '\\W+'), lambda x: x <> '') AS w FROM part),
+q AS (SELECT * FROM (VALUES ('material', 'material'), ('material', 'steel'), ('material', 'brass'), ('material', 'copper'), ('size', 'size'), ('size', 'small'), ('size', 'box'), ('size', 'large')) v(query_id, term)),
+t AS (SELECT p_partkey, len(w) AS n, unnest(w) AS term FROM w),
+f AS (SELECT p_partkey, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY term)
+SELECT query_id AS field, p_partkey, round(sum(ln(1 + ((SELECT count(*) FROM w) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(len(w)) FROM w)))), 6) AS score FROM f JOIN d USING (term) JOIN q USING (term) GROUP BY ALL""")
+def bm25_synonyms(spark, sf_dir):
+    terms = spark.createDataFrame(tx.field_terms(_FIELDS), "query_id string, term string")
+    parts = _read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text"))
+    return tx.bm25(parts, "p_partkey", "text", terms).select(F.col("query_id").alias("field"), "p_partkey", F.round("score", 6).alias("score"))
+
+
+_TABLE = "| k | v |\n|---|---|\n| a | 1 |"
+
+
+@query("""WITH c AS (SELECT p_partkey, ['# ' || p_name || chr(10) || chr(10) || repeat('x', 90), 'xxxxx' || chr(10) || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| a | 1 |' || chr(10) || chr(10) || repeat('y', 60), '## ' || p_type || chr(10) || chr(10) || '- ' || p_size] AS c FROM part)
+SELECT p_partkey, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS place, unnest(c) AS chunk FROM c""")
+def structural_chunks(spark, sf_dir):
+    blocks = [F.concat(F.lit("# "), "p_name"), F.lit("x" * 90), F.lit(_TABLE), F.lit("y" * 60), F.concat(F.lit("## "), "p_type"), F.concat(F.lit("- "), F.col("p_size").cast("string"))]
+    room = F.length("p_name") + 94  # the heading and the first paragraph fill a chunk
+    parts = _read(spark, sf_dir, "part").select("p_partkey", tx.structural_chunks(F.concat_ws("\n\n", *blocks), room, 5).alias("c"))
+    return parts.select("p_partkey", F.posexplode("c").alias("place", "chunk"))
+
+
+_SOUGHT = [schema.Field("title", required=True), schema.Field("price", "money")]
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 2 ELSE 0 END::INTEGER AS version, CASE WHEN s_suppkey % 3 < 2 THEN '.v2' END AS recipe FROM supplier")
+def recipe_lookup(spark, sf_dir):
+    sites = _read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Shop"), (F.col("s_suppkey") % 3).cast("string")).alias("host"))
+    own, other = schema.schema_hash(_SOUGHT), schema.schema_hash(_SOUGHT[:1])
+    rows = [(f"shop{n}", key, v, f".v{v}") for n, key in ((0, own), (1, own), (2, other)) for v in (1, 2)]
+    recipes = spark.createDataFrame(rows, "host string, schema_hash string, version int, recipe string").withColumn("created", F.current_date())
+    return schema.recipes_for(sites, recipes, _SOUGHT, max_age_days=30).select("s_suppkey", F.coalesce("version", F.lit(0)).alias("version"), "recipe")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS many,
+CASE s_suppkey % 3 WHEN 0 THEN 'name:string,price:money' WHEN 1 THEN 'title:string,author:string' ELSE 'sku:string' END AS fields FROM supplier""")
+def planned_fields(spark, sf_dir):
+    asked = F.when(F.col("s_suppkey") % 3 == 0, F.lit("List all names and prices, one price each")).otherwise(F.lit("What is the title, and who is the author?"))
+    told = F.when(F.col("s_suppkey") % 3 == 2, F.lit('{"many": true, "fields": [{"name": "sku", "kind": "string"}]}'))
+    plan = _read(spark, sf_dir, "supplier").select("s_suppkey", schema.planned(asked, told).alias("p"))
+    return plan.select("s_suppkey", "p.many", F.array_join(F.transform("p.fields", lambda f: F.concat(f["name"], F.lit(":"), f["kind"])), ",").alias("fields"))
+
+
+@query("""SELECT conv_id % 7 AS session, count(*) AS calls, count(*) FILTER (turn % 3 = 0) AS saved_calls, round(sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE ceil(length(text) / 4.0) * 3 + 15 END) / 1e6, 9) AS cost,
+round(sum(CASE WHEN turn % 3 = 0 THEN ceil(length(text) / 4.0) * 3 + 15 ELSE 0 END) / 1e6, 9) AS saved FROM conversations GROUP BY ALL""")
+def cost_savings(spark, sf_dir):
+    calls = _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 7).alias("session"), F.lit("m").alias("model"), F.col("text").alias("prompt"), F.lit("okay").alias("reply"), (F.col("turn") % 3 == 0).alias("from_cache"))
+    prices = spark.createDataFrame([("m", 3.0, 15.0)], "model string, price_in double, price_out double")
+    return extract.savings(calls, prices).withColumns({"cost": F.round("cost", 9), "saved": F.round("saved", 9)})

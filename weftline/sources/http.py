@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import urllib.error
 import urllib.request
@@ -28,17 +29,24 @@ class FetchConfig:
     max_bytes: int | None = None
     html_only: bool = False
     per_host_per_s: float | None = None
+    delay_s: float = 0  # after each page that came
+    max_redirects: int = 5
     user_agent: str = "Mozilla/5.0 (compatible; weftline)"
 
     def copy_with(self, **changes) -> "FetchConfig":
         return replace(self, **changes)
 
 
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    def __init__(self, most: int):
+        self.max_redirections = self.max_repeats = most
+
+
 def _once(url: str, config: FetchConfig, headers: dict) -> tuple[int, str | None, str | None, str | None]:
     """status, text, etag and error kind of one request."""
     own = {"User-Agent": config.user_agent, **HEADERS} | headers
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers=own), timeout=config.timeout_s) as reply:
+        with urllib.request.build_opener(_Redirects(config.max_redirects)).open(urllib.request.Request(url, headers=own), timeout=config.timeout_s) as reply:
             kind = reply.headers.get("Content-Type", "")
             if config.html_only and (reply.status != 200 or kind and "html" not in kind):
                 return reply.status, None, None, "content_type"
@@ -73,20 +81,24 @@ def fetch_one(url: str, config: FetchConfig, headers: dict | None = None, sleep=
     return out | {"status": status or None, "html": text, "etag": etag, "attempts": attempt, "elapsed_ms": int(1000 * (time.time() - began)), "error_kind": error, "error_message": message}
 
 
-def fetch(links: DataFrame, config: FetchConfig = FetchConfig(), partitions: int | None = None, etag: str | None = None) -> DataFrame:
-    """FETCHED rows for links (url[, etag]). Links of a host go to one task, which keeps the host's pace."""
+def fetch(links: DataFrame, config: FetchConfig = FetchConfig(), partitions: int | None = None, etag: str | None = None, crawl_delay: str | None = None) -> DataFrame:
+    """FETCHED rows for links (url[, etag][, crawl_delay]). Links of a host go to one task, which keeps the host's pace:
+    the slower of the configured one and the host's crawl delay in seconds."""
     host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
-    rows = links.select("url", (F.col(etag) if etag else F.lit(None).cast("string")).alias("etag"), host.alias("host"))
+    rows = links.select("url", (F.col(etag) if etag else F.lit(None).cast("string")).alias("etag"), host.alias("host"), (F.col(crawl_delay) if crawl_delay else F.lit(None)).cast("double").alias("pace"))
     rows = (rows.repartition(partitions, "host") if partitions else rows.repartition("host")).sortWithinPartitions("host", "url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
         for batch in batches:
             out = []
-            for url, tag, name in zip(batch["url"], batch["etag"], batch["host"], strict=True):
-                if config.per_host_per_s and name in last:
-                    time.sleep(max(0.0, last[name] + 1 / config.per_host_per_s - time.time()))
+            for url, tag, name, pace in zip(batch["url"], batch["etag"], batch["host"], batch["pace"], strict=True):
+                wait = max(1 / config.per_host_per_s if config.per_host_per_s else 0, pace if pace > 0 else 0)
+                if wait and name in last:
+                    time.sleep(max(0.0, last[name] + wait - time.time()))
                 out.append(fetch_one(url, config, {"If-None-Match": tag} if isinstance(tag, str) else {}))
+                if config.delay_s and out[-1]["error_kind"] is None:
+                    time.sleep(config.delay_s)
                 last = {name: time.time()}
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FETCHED.split(", ")])
 
@@ -118,8 +130,7 @@ def allowed(links: DataFrame, rules: DataFrame, mode: str = "lenient") -> DataFr
     return ruled.withColumn("allowed", F.coalesce("_best", F.lit(mode != "strict") | F.coalesce("_ruled", F.lit(False)))).drop("_best", "_ruled", "_path", "host")
 
 
-def robots_rules(text: str, agent: str = "*") -> list[tuple[str, bool]]:
-    """(path, allow) rules of a robots.txt for an agent: its own group's if there is one, else the general group's."""
+def _robots_group(text: str, agent: str) -> list[tuple[str, str]]:
     groups: dict[str, list] = {}
     names, open_group = [], False
     for line in text.splitlines():
@@ -129,13 +140,26 @@ def robots_rules(text: str, agent: str = "*") -> list[tuple[str, bool]]:
             names = [*names, value.lower()] if open_group else [value.lower()]
             open_group = True
             groups.setdefault(value.lower(), [])
-        elif key in ("allow", "disallow"):
+        elif key in ("allow", "disallow", "crawl-delay"):
             open_group = False
             for n in names if value else []:
-                groups[n].append((value, key == "allow"))
+                groups[n].append((key, value))
     return groups.get(agent.lower(), groups.get("*", []))
 
 
+def robots_rules(text: str, agent: str = "*") -> list[tuple[str, bool]]:
+    """(path, allow) rules of a robots.txt for an agent: its own group's if there is one, else the general group's."""
+    return [(value, key == "allow") for key, value in _robots_group(text, agent) if key != "crawl-delay"]
+
+
+def robots_delay(text: str, agent: str = "*") -> float | None:
+    """Seconds between requests that the agent's group asks for: the first Crawl-delay that is a number, or None."""
+    for key, value in _robots_group(text, agent):
+        if key == "crawl-delay" and re.fullmatch(r"[0-9]+(\.[0-9]+)?", value):
+            return float(value)
+    return None
+
+
 def revalidated(cached: DataFrame, fetched: DataFrame) -> DataFrame:
     """Cached rows (url, html, etag) renewed by fetched ones: a 304 keeps the cached page, a new page replaces it."""
     both = cached.select("url", F.col("html").alias("_h"), F.col("etag").alias("_e")).join(fetched.select("url", "status", "html", "etag"), "url", "full")
