@@ -298,7 +298,7 @@ def find_pii(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, base, spans): the rules' spans and all spans of each whole text, as kind:start:end in code points.
 
     Null or empty text has no spans. Null and repeated doc_ids are kept as they are. A table without a digit or @
-    trains nothing, and nothing is added then.
+    trains on plain numbers alone, and nothing is added then.
     """
     w = docs.sparkSession.sparkContext.broadcast(train(docs.select("text"), **options))
 
