@@ -167,3 +167,36 @@ def test_recipes_by_host_and_schema(spark):
     got = lambda **how: {r["host"]: r["recipe"] for r in schema.recipes_for(pages, recipes, [schema.Field("a")], **how).collect()}
     assert got() == {"x.Example": "r2", "y.example": None, None: None}
     assert set(got(max_age_days=30).values()) == {None}
+
+
+def test_redirect_limit_and_pace(spark):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):  # /n redirects n times
+            left = int(self.path[1:].partition("?")[0])
+            self.send_response(302 if left else 200)
+            self.send_header("Location", f"/{left - 1}")
+            self.end_headers()
+            self.wfile.write(b"" if left else b"page")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root = f"http://127.0.0.1:{server.server_port}"
+        config = http.FetchConfig(max_retries=0)
+        assert http.fetch_one(f"{root}/5", config)["html"] == "page"
+        far = http.fetch_one(f"{root}/6", config)
+        assert far["html"] is None and far["error_kind"] == "network"
+        links = spark.createDataFrame([(f"{root}/0?{n}", 0.3) for n in range(3)], "url string, pace double")
+        for how in ({"crawl_delay": "pace"}, {"config": http.FetchConfig(delay_s=0.3)}):
+            began = time.time()
+            assert [r["html"] for r in http.fetch(links, partitions=1, **how).collect()] == ["page"] * 3
+            assert time.time() - began >= 0.6
+    finally:
+        server.shutdown()
