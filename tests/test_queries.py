@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables with what is rare in the test tables."""
 
+from datetime import datetime, timedelta
+
 import duckdb
 import pytest
 
@@ -28,3 +30,10 @@ def test_a_reference_cut_off_in_a_title(spark, tmp_path, name):
     titles = ["one &amp; two", "one&amp", "one&&amp", "one &copy; &quot;x&quot; &quo", "&copy"]
     spark.createDataFrame([(i, "https://e.com/x", page.format(t)) for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert agrees(spark, tmp_path, name) == 5
+
+
+def test_requests_at_one_moment(spark, tmp_path):
+    minutes = [0, 0, 0, 60, 60, 120, 120, 121, 240]
+    events = [(i, user, datetime(2024, 1, 1) + timedelta(minutes=m)) for i, (user, m) in enumerate((u, m) for u in (1, 2) for m in minutes)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz").selectExpr("*", "'view' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    assert agrees(spark, tmp_path, "cache_ttl_hits") == 18

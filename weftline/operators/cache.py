@@ -22,6 +22,7 @@ def ttl_hits(log: DataFrame, key: str, at: str, ttl_ms: int) -> DataFrame:
     """log with hit: whether a read-through cache without bound holds the key at that time.
 
     A miss fetches and sets it; it lives ttl_ms from the set, not from later reads, and is gone at that very moment.
+    Requests at the moment of the set come before what is fetched: all of them miss, whatever their order.
     Which requests set a key depends on the set before, so each key's own requests are walked in order; keys are
     independent.
     """
@@ -29,15 +30,15 @@ def ttl_hits(log: DataFrame, key: str, at: str, ttl_ms: int) -> DataFrame:
     ordered = log.repartition(F.col(key)).sortWithinPartitions(key, at)
 
     def by_partition(batches):
-        now, until = None, None
+        now, since = None, None
         for batch in batches:
             hits = []
             for k, t in zip(batch[key], batch[at], strict=True):
                 if k != now:
-                    now, until = k, None
-                hits.append(until is not None and t < until)
+                    now, since = k, None
+                hits.append(since is not None and since < t < since + ttl_ms)
                 if not hits[-1]:
-                    until = t + ttl_ms
+                    since = t
             yield batch.assign(hit=hits)
 
     return ordered.mapInPandas(by_partition, schema)
