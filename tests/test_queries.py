@@ -40,7 +40,7 @@ def test_requests_at_one_moment(spark, tmp_path):
     assert agrees(spark, tmp_path, "cache_ttl_hits") == 18
 
 
-@pytest.mark.parametrize("name", ["article_fields"])
+@pytest.mark.parametrize("name", ["article_fields", "readable_body"])
 def test_pages_of_a_small_file_are_dealt_to_all_cores(spark, tmp_path, name):
     parts = spark.range(100).selectExpr("id AS p_partkey", "'almond ' || id AS p_name", "'Brand#1' AS p_brand", "'SMALL TIN' AS p_type", "CAST(id % 50 AS INT) AS p_size", "id + 0.5D AS p_retailprice")
     parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
