@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, components, decontaminate, jaccard, linededup, lm, pii, quality, sharding, substring, topk, words
+from weftline.llm import bpe, components, decontaminate, jaccard, linededup, lm, pii, quality, sharding, store, substring, topk, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -430,3 +430,11 @@ def test_components_are_whole_or_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
     with pytest.raises(RuntimeError):
         components.components(links, rounds=2)
+
+
+def test_near_duplicates_delete_their_tables_of_pairs_and_index_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda _: str(tmp_path))
+    rows = [(i, " ".join(f"w{i % 7}x{j}" for j in range(40)) + f" end{i}") for i in range(60)]
+    assert len({r["component_id"] for r in jaccard.near_duplicates(table(spark, rows)).collect()}) == 7
+    left = {p.name.split("-")[2] for p in tmp_path.glob("weftline-jaccard-*")}
+    assert left and not left & {"prefix", "index", "pairs", "ids", "sets", "entries", "open"}

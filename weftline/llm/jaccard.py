@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.components import components
-from weftline.llm.store import maybe_in, written
+from weftline.llm.store import maybe_in, removed, swept, written
 from weftline.llm.words import run_hashes, sliced, word_hashes
 
 BYTES_A_COUNTER = 128
@@ -176,7 +176,12 @@ class _Join:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
         both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
         shared, union = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-        return written(both.where(shared * (100 + self.percent) >= union * self.percent).select("a", "b"), "jaccard-links")
+        links = written(both.where(shared * (100 + self.percent) >= union * self.percent).select("a", "b"), "jaccard-links")
+        del likely, both
+        for table in (pairs, ids, sets):
+            removed(table)
+        swept(links.sparkSession)
+        return links
 
     def short_pairs(self, index: DataFrame) -> DataFrame:
         """Pairs of the short lists whose shared shingles still allow the overlap.
@@ -234,11 +239,15 @@ class _Join:
             # what a list's largest component has answered is not asked again
             left = written(entries.join(largest.select("h", "main").hint("merge"), "h").where("component <> main"), "jaccard-open").drop("main")
             if left.isEmpty():
+                removed(left)
+                removed(entries)
                 break
-            entries = entries.join(largest.select("h").hint("merge"), "h", "left_semi")
+            whole, entries = entries, entries.join(largest.select("h").hint("merge"), "h", "left_semi")
             more = self.linked(self._meets(left if most is None else self._centres(left, most), entries))
             if not more.isEmpty():
                 done = self._joined(done, more)
+            removed(left)
+            removed(whole)
         return done
 
     def _joined(self, done: DataFrame, links: DataFrame) -> DataFrame:
@@ -270,13 +279,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     own = docs.where("doc_id is not null and text is not null")
     likely, single = maybe_in(own, copies, ["doc_id", "tag"])
     texts = single.unionByName(likely.join(copies.hint("merge"), ["doc_id", "tag"], "left_anti").select(*single.columns)).select("doc_id", "text")
-    listed = written(texts.mapInArrow(_prefixes(classes, words, percent), "h long, id long, size int, place int, mark array<long>"), "jaccard-prefix")
-    marks, listed = listed.where("place = 0").select("id", "size", "mark"), listed.where("place > 0").drop("mark")
+    prefixes = written(texts.mapInArrow(_prefixes(classes, words, percent), "h long, id long, size int, place int, mark array<long>"), "jaccard-prefix")
+    swept(docs.sparkSession)
+    marks, listed = prefixes.where("place = 0").select("id", "size", "mark"), prefixes.where("place > 0").drop("mark")
     shared = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     index = listed.join(shared.hint("merge"), "h").withColumn("front", F.col("place") <= _front(F.col("size"), percent)).join(marks.distinct().hint("merge"), ["id", "size"])
     per_set = Window.partitionBy("id")
     index = written(index.withColumns({"kept": F.count("*").over(per_set), "long_lists": F.count_if(F.col("n") > LONG_LIST).over(per_set)}), "jaccard-index")
+    del shared, marks, listed
+    removed(prefixes)
+    swept(docs.sparkSession)
     found = _Join(texts, words, percent).found(index)
+    removed(index)
     named = first.join(found.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     alone = rows.where("size = 0 or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return real.join(named.hint("merge"), "digest").select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(alone)

@@ -76,6 +76,12 @@ def removed(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what has been written: Spark deletes them only once the driver's JVM collects the
+    plans that made them, which on a large heap is late."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written within are deleted on leaving; what is to stay is written as Parquet elsewhere within."""
