@@ -100,3 +100,9 @@ def test_pipeline_on_nulls_empty_repeated_and_long_texts(spark, tmp_path):
     assert left == {"stage"}
     assert sorted(r["doc_id"] for r in got if r["doc_id"] in (0, 500, 301, 400)) == [0, 0]
     assert all(r["n_tokens"] == 0 for r in got if r["doc_id"] in (600, 601))
+
+
+def test_no_task_of_the_token_stage_holds_two_python_workers(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    plan = corpus_pipeline.token_stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -48,8 +48,8 @@ def features(text: str | None) -> np.ndarray:
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, rows = np.zeros((2, DIM), np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[label, features(text)] += 1
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):  # a text at a time
+            counts[label, features(text.as_py())] += 1
             rows[label] += 1
     used = np.flatnonzero(counts.any(axis=0))
     columns = [np.append(used, -1), np.append(counts[0, used], rows[0]), np.append(counts[1, used], rows[1])]
@@ -58,7 +58,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _sampled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t).astype(np.uint16).tobytes() for t in batch.column(0).to_pylist()]
+        found = [features(t.as_py()).astype(np.uint16).tobytes() for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["f", "label"])
 
 
