@@ -432,6 +432,19 @@ def test_components_are_whole_or_an_error(spark):
         components.components(links, rounds=2)
 
 
+def test_near_duplicates_shuffle_no_shingle_of_one_prefix_alone_but_to_count_it(spark):
+    chance = random.Random(3)
+    rows = [(i, " ".join(f"{chance.randrange(10**9)}" for _ in range(2000))) for i in range(200)]
+    rows += [(i + 1000, t.rsplit(" ", 1)[0]) for i, t in rows[:4]]
+    store_of = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store_of.executorList(False).apply(k).totalShuffleWrite() for k in range(store_of.executorList(False).size()))
+    before = written()
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    entries = sum(jaccard.prefix_size(len(t.split()) - 3, 85) for _, t in rows)
+    assert written() - before < 30 * entries
+
+
 def test_near_duplicates_delete_their_tables_of_pairs_and_index_lists(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "shared_dir", lambda _: str(tmp_path))
     rows = [(i, " ".join(f"w{i % 7}x{j}" for j in range(40)) + f" end{i}") for i in range(60)]

@@ -173,11 +173,13 @@ class _Join:
         likely, _ = maybe_in(self.texts, ids, ["doc_id"])
         likely = likely.join(ids.hint("merge"), "doc_id", "left_semi").distinct()
         sets = written(likely.select("doc_id", "text").mapInArrow(_sets(self.n), "id long, shingles array<long>"), "jaccard-sets")
+        del likely
+        swept(sets.sparkSession)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
         both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
         shared, union = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
         links = written(both.where(shared * (100 + self.percent) >= union * self.percent).select("a", "b"), "jaccard-links")
-        del likely, both
+        del both
         for table in (pairs, ids, sets):
             removed(table)
         swept(links.sparkSession)
@@ -187,15 +189,18 @@ class _Join:
         """Pairs of the short lists whose shared shingles still allow the overlap.
 
         A set's whole prefix looks into the fronts of sets no larger. What the two share is among what they met with, in
-        long lists, or beyond the prefix of the one or the front of the other, whichever ends first.
+        long lists, or beyond the prefix of the one or the front of the other, whichever ends first. Of the prefixes they
+        share no more than either's shingles that lie in any other prefix (`kept`), which the marks of long sets don't tell.
         """
         short, p = index.where(F.col("n") <= LONG_LIST), self.percent
-        own = lambda k: [F.col("id").alias(k), *(F.col(c).alias(f"{d}_{k}") for c, d in (("size", "size"), ("mark", "mark"), ("long_lists", "long")))]
+        own = lambda k: [F.col("id").alias(k), *(F.col(c).alias(f"{d}_{k}") for c, d in (("size", "size"), ("mark", "mark"), ("long_lists", "long"), ("kept", "kept")))]
         a, b = short.select("h", *own("a")), short.where("front").select("h", *own("b"))
         smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") < F.col("a")))
-        met = a.join(b.hint("merge"), "h").where(smaller & _may_link("a", "b", p)).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("met"), *(F.max(c).alias(c) for c in ("long_a", "long_b")))
-        beyond = F.greatest(F.ceil(F.col("size_a") * p / F.lit(100)) - 1, F.col("size_b") - _front(F.col("size_b"), p))
-        return met.where(F.col("met") + F.least("long_a", "long_b") + beyond >= _overlap_needed("size_a", "size_b", p)).select("a", "b")
+        needed, unseen = _overlap_needed("size_a", "size_b", p), [F.ceil(F.col(f"size_{k}") * p / F.lit(100)) - 1 for k in ("a", "b")]
+        enough = F.least("kept_a", "kept_b") + F.greatest(*unseen) >= needed
+        beyond = F.greatest(unseen[0], F.col("size_b") - _front(F.col("size_b"), p))
+        met = a.join(b.hint("merge"), "h").where(smaller & enough & _may_link("a", "b", p)).select("a", "b", (needed - beyond - F.least("long_a", "long_b")).alias("least"))
+        return met.groupBy("a", "b", "least").agg(F.count("*").alias("met")).where("met >= least").select("a", "b")
 
     def _meets(self, centres: DataFrame, entries: DataFrame) -> DataFrame:
         """Pairs of a centre and an entry of the same list in different components, whose positions leave room.
@@ -278,19 +283,25 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 85) -> Da
     classes = docs.sparkSession.sparkContext.broadcast(_classes(scan, bits))
     own = docs.where("doc_id is not null and text is not null")
     likely, single = maybe_in(own, copies, ["doc_id", "tag"])
-    texts = single.unionByName(likely.join(copies.hint("merge"), ["doc_id", "tag"], "left_anti").select(*single.columns)).select("doc_id", "text")
+    # texts are read in every round: the few that the bitmap leaves open are looked up once
+    kept = written(likely.join(copies.hint("merge"), ["doc_id", "tag"], "left_anti").select("doc_id", "text"), "jaccard-kept")
+    texts = single.select("doc_id", "text").unionByName(kept)
     prefixes = written(texts.mapInArrow(_prefixes(classes, words, percent), "h long, id long, size int, place int, mark array<long>"), "jaccard-prefix")
     swept(docs.sparkSession)
     marks, listed = prefixes.where("place = 0").select("id", "size", "mark"), prefixes.where("place > 0").drop("mark")
-    shared = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    index = listed.join(shared.hint("merge"), "h").withColumn("front", F.col("place") <= _front(F.col("size"), percent)).join(marks.distinct().hint("merge"), ["id", "size"])
+    shared = written(listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-shared")
+    swept(docs.sparkSession)
+    # most shingles are in one prefix alone: their rows are left where they are
+    index = maybe_in(listed, shared, ["h"])[0].join(shared.hint("merge"), "h").withColumn("front", F.col("place") <= _front(F.col("size"), percent)).join(marks.distinct().hint("merge"), ["id", "size"])
     per_set = Window.partitionBy("id")
     index = written(index.withColumns({"kept": F.count("*").over(per_set), "long_lists": F.count_if(F.col("n") > LONG_LIST).over(per_set)}), "jaccard-index")
+    removed(shared)
     del shared, marks, listed
     removed(prefixes)
     swept(docs.sparkSession)
     found = _Join(texts, words, percent).found(index)
     removed(index)
+    removed(kept)
     named = first.join(found.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     alone = rows.where("size = 0 or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return real.join(named.hint("merge"), "digest").select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(alone)
